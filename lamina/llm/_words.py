@@ -96,22 +96,25 @@ class Words:
             out[a : a + _SLICE] = hash_ranges(self.buf, s, e)
         return out
 
-    def text(self, i: int, keep: np.ndarray | None = None) -> bytes:
-        """The (kept) words of text i, joined by one space. keep: a flag for each word of the batch."""
-        a, b = self.first[i], self.first[i + 1]
-        s, e = self.start[a:b], self.end[a:b]
+    def joined(self, keep: np.ndarray | None = None) -> pa.Array:
+        """The (kept) words of each text, joined by one space. keep: a flag for each word of the batch."""
+        start, end, doc = self.start, self.end, self.doc()
         if keep is not None:
-            s, e = s[keep[a:b]], e[keep[a:b]]
-        if not len(s):
-            return b""
-        sizes = e - s + 1
+            start, end, doc = start[keep], end[keep], doc[keep]
+        n = end - start
+        sizes = n.copy()
+        sizes[:-1] += doc[1:] == doc[:-1]  # the space after it
         at = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
         out = np.full(total, 32, np.uint8)
-        where = np.arange(total) - np.repeat(at, sizes)
-        inside = where < np.repeat(e - s, sizes)
-        out[inside] = self.buf[(np.repeat(s, sizes) + where)[inside]]
-        return out[:-1].tobytes()
+        for a in range(0, len(n), _SLICE):
+            k = n[a : a + _SLICE]
+            where = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            out[np.repeat(at[a : a + _SLICE], k) + where] = self.buf[np.repeat(start[a : a + _SLICE], k) + where]
+        offsets = np.concatenate([at, [total]])[np.searchsorted(doc, np.arange(len(self) + 1))]
+        if total < 1 << 31:
+            return pa.Array.from_buffers(pa.string(), len(self), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+        return pa.Array.from_buffers(pa.large_string(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
