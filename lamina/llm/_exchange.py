@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._words import U64
 
-TILE_BYTES = 2 << 20
+TILE_BYTES = 4 << 20
 OFFERS = "tile int, bucket int, keys binary, counts binary"
 ANSWERS = "tile int, bucket int, answer binary"
 
