@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, substrings
+from . import chat, jaccard, lm, mixing, packing, substrings
 from ._spark import materialise, table, word_count
 
 
@@ -30,6 +30,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sizes, "source", "size", "key").drop("source", "key")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    return lm.score_texts(docs, train).select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
@@ -49,7 +55,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op4_mixing, op8_jaccard_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op4_mixing, op7_lm_scoring, op8_jaccard_join, op10_chat_formatting)}
 
 ORACLES = {
     "op2_substring_dedup": r"""
