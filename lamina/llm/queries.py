@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lm, mixing, packing, substrings
+from . import cascade, chat, jaccard, lm, mixing, packing, substrings
 from ._spark import materialise, table, word_count
 
 
@@ -24,6 +24,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = cascade.quality_cascade(docs, outputs=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), required=cascade.too_short_or_repetitive)
+    failed = (F.col("rejected_by") == "required").eqNullSafe(F.lit(True))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key")), "sizes")
@@ -55,7 +62,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op4_mixing, op7_lm_scoring, op8_jaccard_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_quality_rules, op4_mixing, op7_lm_scoring, op8_jaccard_join, op10_chat_formatting)}
 
 ORACLES = {
     "op2_substring_dedup": r"""
@@ -66,6 +73,18 @@ gone AS (SELECT DISTINCT r, i + o AS i FROM hit, (SELECT unnest(generate_series(
 word AS (SELECT doc_id, r, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
 kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op3_quality_rules": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT r, doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS sym,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+  len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS stutters FROM d),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 2], ' ')) AS k FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT r, k FROM g GROUP BY r, k HAVING count(*) > 1),
+cover AS (SELECT r, count(DISTINCT i + o) AS rep FROM g JOIN again USING (r, k), (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
+m AS (SELECT c.*, coalesce(rep, 0) AS rep, len(lines) - len(list_distinct(lines)) AS dup, len(lines) AS n_lines FROM c LEFT JOIN cover USING (r))
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words,
+  n < 50 OR 100 * rep > 50 * n AS base_failed,
+  NOT (n < 50 OR 100 * rep > 30 * n OR 100 * sym > 10 * n OR 100 * dup > 30 * n_lines OR 100 * stutters > 20 * n OR 100 * chars > 1500 * n) AS kept FROM m""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0)),
