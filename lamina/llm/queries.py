@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, chat, jaccard, lm, mixing, packing, substrings
+from . import cascade, chat, jaccard, lm, mixing, nbsvm, packing, substrings
 from ._spark import materialise, table, word_count
 
 
@@ -39,8 +39,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    return lm.score_texts(docs, train).select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.score_texts(docs, crc_of_id("doc_id") % 7 != 2).select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +47,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def crc_of_id(id: str):
+    """crc32 of the id as text; 0 for a null id."""
+    return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))
+
+
+def op9_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"), crc_of_id("doc_id") % 5 != 0)
+    return nbsvm.classify(docs, model).select("doc_id", (crc_of_id("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -62,7 +72,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_quality_rules, op4_mixing, op7_lm_scoring, op8_jaccard_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_quality_rules, op4_mixing, op7_lm_scoring, op8_jaccard_join, op9_nb_svm, op10_chat_formatting)}
 
 ORACLES = {
     "op2_substring_dedup": r"""
