@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, chat, jaccard, lm, mixing, nbsvm, packing, substrings
+from . import ann, cascade, chat, jaccard, lm, mixing, nbsvm, packing, substrings, warc
 from ._spark import materialise, table, word_count
 
 
@@ -37,6 +37,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sizes, "source", "size", "key").drop("source", "key")
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score_texts(docs, crc_of_id("doc_id") % 7 != 2).select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -72,7 +81,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_quality_rules, op4_mixing, op7_lm_scoring, op8_jaccard_join, op9_nb_svm, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_quality_rules, op4_mixing, op5_multi_index_hashing, op6_warc, op7_lm_scoring, op8_jaccard_join, op9_nb_svm, op10_chat_formatting)}
 
 ORACLES = {
     "op2_substring_dedup": r"""
@@ -95,6 +104,14 @@ m AS (SELECT c.*, coalesce(rep, 0) AS rep, len(lines) - len(list_distinct(lines)
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words,
   n < 50 OR 100 * rep > 50 * n AS base_failed,
   NOT (n < 50 OR 100 * rep > 30 * n OR 100 * sym > 10 * n OR 100 * dup > 30 * n_lines OR 100 * stutters > 20 * n OR 100 * chars > 1500 * n) AS kept FROM m""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(d, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM q""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0)),
