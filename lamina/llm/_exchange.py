@@ -8,6 +8,8 @@ costs one entry for each tile, not one for each row.  A tile derives the same of
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,11 +17,37 @@ from pyspark.sql import functions as F
 
 from ._words import U64
 
-TILE_BYTES = 4 << 20
+TILE_BYTES = 2 << 20
 OFFERS = "tile int, bucket int, keys binary, counts binary"
 ANSWERS = "tile int, bucket int, answer binary"
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(f):
+    """f of one or two tables, with the memory that it has freed given back to the system after each call; so a worker stays small."""
+
+    def one(table):
+        try:
+            return f(table)
+        finally:
+            _trim()
+
+    def two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            _trim()
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
 
@@ -89,6 +117,7 @@ def answers(offers: DataFrame, narrow: bool, counts=np.uint8) -> DataFrame:
     """For each offer the totals of its keys over all tiles, at most what `counts` can hold."""
     most = np.iinfo(counts).max
 
+    @trimmed
     def answer(table: pa.Table) -> pa.Table:
         _, totals, inverse, at = gathered(table, narrow, counts)
         flat = np.minimum(totals, most).astype(counts)[inverse]

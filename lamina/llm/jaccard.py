@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._components import connected_components
-from ._exchange import OFFERS, Offer, answers, buckets_for, text_bytes, tiled
+from ._exchange import OFFERS, Offer, answers, buckets_for, text_bytes, tiled, trimmed
 from ._spark import materialise
 from ._words import U64, Words, salted, shingles
 
@@ -106,9 +106,11 @@ def shingle_sets(df: DataFrame, id: str, text: str, size: int, percent: int) ->
         doc, keys = shingles(w, w.hashes(), size)
         return len(w), doc, keys, Offer(keys, buckets, True)
 
+    @trimmed
     def offer(table: pa.Table) -> pa.Table:
         return keys_of(table)[3].rows(table.column("tile")[0].as_py())
 
+    @trimmed
     def choose(table: pa.Table, found: pa.Table) -> pa.Table:
         n, doc, keys, offered = keys_of(table)
         level = offered.read(found)[offered.inverse]
@@ -171,6 +173,7 @@ def linked_sets(sets: DataFrame, percent: int, most_items: int = 1 << 20) -> Dat
         .select("cid", "items", "task")
     )
 
+    @trimmed
     def link(table: pa.Table) -> pa.Table:
         cid = table.column("cid").to_numpy()
         order = np.argsort(cid)

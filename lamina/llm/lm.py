@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._exchange import ANSWERS, OFFERS, Offer, buckets_for, gathered, text_bytes, tiled
+from ._exchange import ANSWERS, OFFERS, Offer, buckets_for, gathered, text_bytes, tiled, trimmed
 from ._spark import materialise
 from ._words import ROLL_A, U64, Words, batches, mix, salted
 
@@ -125,8 +125,9 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
     total = text_bytes(df, text)
     buckets = buckets_for(total)
     docs = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"), train).alias("row_key"))
-    d = tiled(docs, "tile", total)
+    d = tiled(docs, "tile", total, 4 << 20)
 
+    @trimmed
     def offers(table: pa.Table) -> pa.Table:
         tile, t = table.column("tile")[0].as_py(), Tokens(table.column("text"))
         learn = table.column("train").to_numpy()[t.doc]
@@ -135,6 +136,7 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
         kinds = [WORD] * words.num_rows + [PAIR] * pairs.num_rows
         return pa.concat_tables([words, pairs]).append_column("kind", pa.array(kinds, pa.int32()))
 
+    @trimmed
     def answer(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == PAIR:
             return pa.table({"tile": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
@@ -142,6 +144,7 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
         flat = np.minimum(totals, 2**32 - 1).astype(np.uint32)[inverse]
         return pa.table({"tile": table.column("tile"), "bucket": table.column("bucket"), "answer": pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
+    @trimmed
     def segment(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         keys, totals, _, _ = gathered(table, kind == PAIR, np.uint32)
@@ -150,6 +153,7 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
         some = totals > 0
         return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "distinct": pa.array([int(some.sum())]), "tokens": pa.array([int(totals.sum())]), "segment": pa.array([build_segment(keys[some], totals[some])], pa.binary())})
 
+    @trimmed
     def base(table: pa.Table, found: pa.Table) -> pa.Table:
         t = Tokens(table.column("text"))
         counts = Offer(t.token, buckets, False)

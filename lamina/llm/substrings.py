@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._exchange import OFFERS, Offer, answers, buckets_for, text_bytes, tiled
+from ._exchange import OFFERS, Offer, answers, buckets_for, text_bytes, tiled, trimmed
 from ._spark import fresh
 from ._words import ROLL_A, ROLL_B, Words, rolling
 
@@ -37,10 +37,9 @@ class Tile:
         self.words, self.window, self.buckets = Words(table.column(text)), window, buckets
         self.hashes = self.words.hashes()
         counts = self.words.counts
-        self.doc = self.words.doc()
-        self.head = self.words.first[:-1][self.doc]
-        self.pos = np.arange(len(self.doc)) - self.head
-        self.left = counts[self.doc] - self.pos  # words from here to the end of the text
+        self.head = np.repeat(self.words.first[:-1].astype(np.int32), counts)
+        self.pos = np.arange(len(self.head), dtype=np.int32) - self.head
+        self.left = np.repeat(counts.astype(np.int32), counts) - self.pos  # words from here to the end of the text
         self.period, cover = cover_for(window)
         size = window - self.period + 1
         self.anchors = np.flatnonzero((self.left >= size) & cover[self.pos % self.period])
@@ -49,7 +48,7 @@ class Tile:
     def extend(self, answer: np.ndarray) -> None:
         """Windows of full length that hold an anchor met twice or more within a period of their start."""
         hit = self.anchors[answer[self.anchor_offer.inverse] > 1]
-        step = np.zeros(len(self.doc) + 1, np.int64)
+        step = np.zeros(len(self.head) + 1, np.int32)
         np.add.at(step, np.maximum(hit - self.period + 1, self.head[hit]), 1)
         np.add.at(step, hit + 1, -1)
         self.starts = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (self.left >= self.window))
@@ -57,7 +56,7 @@ class Tile:
 
     def removed(self, answer: np.ndarray) -> np.ndarray:
         hit = self.starts[answer[self.offer.inverse] > 1]
-        step = np.zeros(len(self.doc) + 1, np.int64)
+        step = np.zeros(len(self.head) + 1, np.int32)
         step[hit] += 1
         np.subtract.at(step, hit + self.window, 1)
         return np.cumsum(step[:-1]) > 0
@@ -82,9 +81,11 @@ def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, bucket
     def number(table: pa.Table) -> int:
         return table.column(tile)[0].as_py()
 
+    @trimmed
     def anchors(table: pa.Table) -> pa.Table:
         return Tile(table, text, window, buckets).anchor_offer.rows(number(table))
 
+    @trimmed
     def windows(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("tile", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()))})
@@ -92,6 +93,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, bucket
         t.extend(t.anchor_offer.read(found))
         return t.offer.rows(number(table))
 
+    @trimmed
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         first = found.column("kind").to_numpy() == 1
         t = Tile(table, text, window, buckets)
