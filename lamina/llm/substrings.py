@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,13 +63,14 @@ class Tile:
         return np.cumsum(step[:-1]) > 0
 
 
-def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, bucket_bytes: int = 16 << 20) -> DataFrame:
+def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, keep_untouched: bool = False, bucket_bytes: int = 16 << 20) -> DataFrame:
     """df with `text` replaced by its kept words, joined by one space, and n_words, n_removed added.
 
     A word goes if a window over it has a word sequence that also starts anywhere else, in the same row or another;
     all are judged on the input.  A null text has no words and becomes empty, as does one whose words all go.  Equal
     rows are places of their own, so all but short ones lose all words.  Rows are never lost; an empty table stays
-    empty.  Added names get underscores in front where they clash.
+    empty.  Added names get underscores in front where they clash.  keep_untouched: a text that loses nothing stays as it
+    is, with its own spaces and lines.
     """
     total = text_bytes(df, text)
     tile, n_words, n_removed, side, kind = fresh(df, "tile", "n_words", "n_removed", "answer", "kind")
@@ -99,8 +101,11 @@ def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, bucket
         t = Tile(table, text, window, buckets)
         t.extend(t.anchor_offer.read(found.filter(pa.array(first))))
         gone = t.removed(t.offer.read(found.filter(pa.array(~first))))
-        columns = [t.words.joined(~gone) if c == text else table.column(c) for c in columns_in]
         n = np.diff(np.concatenate([[0], np.cumsum(gone)])[t.words.first])
+        kept = t.words.joined(~gone)
+        if keep_untouched:
+            kept = pc.if_else(pa.array(n == 0), pc.fill_null(table.column(text).cast(kept.type), ""), kept)
+        columns = [kept if c == text else table.column(c) for c in columns_in]
         return pa.table(columns + [pa.array(t.words.counts.astype(np.int64)), pa.array(n.astype(np.int64))], names=columns_out)
 
     got = answers(d.groupBy(tile).applyInArrow(anchors, OFFERS), narrow=True)
