@@ -1,15 +1,73 @@
-"""The corpus pipeline; its stages are added as their operators are built."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the
+columns of documents; run() writes each stage's rows to the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.llm import jaccard, mixing, nbsvm, packing, substrings
+from lamina.llm._spark import WORD, materialise, table, word_count
+from lamina.llm.queries import tokenizer_path
+from lamina.session import ship
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from all labels of quality, doesn't reject (score below 0.3)."""
+    model = nbsvm.fit(docs, table(ship(spark), sf_dir, "labels"), F.lit(True))
+    return nbsvm.classify(docs, model).filter("predicted = 1").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    ship(spark)
+    found = jaccard.jaccard_components(docs, size=5, percent=80)
+    kept = found.filter("keep").select(F.col("doc_id").alias("kept_id"), "row_key").distinct()
+    rows = docs.withColumn("row_key", F.xxhash64(*docs.columns)).alias("d")
+    one = rows.join(kept.alias("k"), (F.col("d.row_key") == F.col("k.row_key")) & F.col("d.doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return one.dropDuplicates(["row_key", "doc_id"]).select(docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that also stand elsewhere."""
+    ship(spark)
+    out = substrings.dedup_substrings(docs, window=50, keep_untouched=True)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document; the last may be a run of its words."""
+    mixed = mixing.mix_sources(docs.withColumns({"mix_size": word_count(F.col("text")), "mix_key": F.xxhash64("doc_id", "text")}), "source", "mix_size", "mix_key")
+    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), (F.col("cut_start") + 1).cast("int"), F.col("cut_length").cast("int"))
+    part = F.when(F.col("cut_length") == 0, F.array().cast("array<string>")).when(F.col("cut_length") == F.col("mix_size"), F.array("text")).otherwise(F.array(F.array_join(words, " ")))
+    texts = F.concat(F.array_repeat("text", F.col("copies").cast("int")), part)
+    out = mixed.filter("taken > 0").withColumn("text", F.explode(texts))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    ship(spark)
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", passages),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-STAGES = []
+#: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
