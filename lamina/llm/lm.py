@@ -41,18 +41,24 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
 
 
-def _places(keys: np.ndarray, level: int, probe: int, size) -> np.ndarray:
-    return salted(keys, 16 * level + probe) % size
+def _places(first: np.ndarray, step: np.ndarray, level: int, probe: int, size) -> np.ndarray:
+    """Double hashing; the upper half of the hash is scaled to the size, which is below 2 ** 32."""
+    return (((first + U64(PROBES * level + probe) * step) >> U64(32)) * size) >> U64(32)
+
+
+def _seeds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return salted(keys, 1), salted(keys, 2) | U64(1)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, entry_bits: int = ENTRY_BITS) -> bytes:
     level = levels(counts)
     size = max(64, -(-int(level.sum()) * entry_bits // 64) * 64)
     bits = np.zeros(size, bool)
+    first, step = _seeds(keys)
     for j in range(1, int(level.max(initial=0)) + 1):
-        some = keys[level >= j]
+        some = level >= j
         for i in range(PROBES):
-            bits[_places(some, j, i, U64(size))] = True
+            bits[_places(first[some], step[some], j, i, U64(size))] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -66,14 +72,17 @@ class Filter:
         self.data = np.frombuffer(b"".join(segments[b] for b in sorted(segments)), np.uint8)
 
     def level(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Fast where keys come by bucket, as then a segment's probes are near each other."""
         out = np.zeros(len(keys), np.int64)
         live = np.flatnonzero(self.bits[bucket] > 0)
+        first, step = _seeds(keys[live])
+        size, base = self.bits[bucket[live]], self.at[bucket[live]]
         j = 1
         while len(live):
             for i in range(PROBES):
-                b = bucket[live]
-                place = _places(keys[live], j, i, self.bits[b]).astype(np.int64)
-                live = live[(self.data[self.at[b] + (place >> 3)] & _BITS[place & 7]) > 0]
+                place = _places(first, step, j, i, size).astype(np.int64)
+                hit = np.flatnonzero(self.data[base + (place >> 3)] & _BITS[place & 7])
+                live, first, step, size, base = live[hit], first[hit], step[hit], size[hit], base[hit]
             out[live] += 1
             j += 1
         return out
@@ -218,14 +227,16 @@ def _score_pass(docs: DataFrame, words: Broadcast, pairs: Broadcast, low: int, h
             if starts is None:
                 end = np.array([END])
                 starts = expected(known.level(end, bucket_of(end, buckets)))[0]
-            single = expected(known.level(t.token, bucket_of(t.token, buckets)))
+            distinct, back = np.unique(t.token, return_inverse=True)
+            single = expected(known.level(distinct, bucket_of(distinct, buckets)))[back]
             history = np.empty_like(single)
             history[1:] = single[:-1]
             history[t.before == START] = starts
-            bucket = bucket_of(t.pair, buckets)
-            both = np.minimum(expected(seen.level(narrow(t.pair, buckets), bucket)), history)
+            distinct, back = np.unique(narrow(t.pair, buckets), return_inverse=True)  # ascending, so by bucket
+            both = np.minimum(expected(seen.level(distinct, (distinct >> U64(32)).astype(np.int64)))[back], history)
             logs = np.log10((both + strength * (single + 1) / whole) / (history + strength))
             if high - low < buckets:
+                bucket = bucket_of(t.pair, buckets)
                 logs[(bucket < low) | (bucket >= high)] = 0
             at = batch.schema.get_field_index
             yield pa.RecordBatch.from_arrays([batch.column(at("id")), batch.column(at("train")), batch.column(at("row_key")), pa.array(t.sums(logs))], names=["id", "train", "row_key", "score"])
