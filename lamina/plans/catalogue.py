@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .layers import layers
+from .settings import settings
+from .tables import tables
 
-QUERIES = {**layers.queries}
-ORACLES = {**layers.oracles}
+PARTS = (layers, settings, tables)
+QUERIES = {name: q for part in PARTS for name, q in part.queries.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.oracles.items()}

@@ -1,12 +1,13 @@
-"""Sends this package to the Python workers, which don't share the driver's sys.path."""
+"""The session's needs: this package on the Python workers, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -23,3 +24,23 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         _sent.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="lamina-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the shared folder: a cut of its lineage that survives lost executors."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
