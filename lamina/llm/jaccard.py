@@ -203,7 +203,7 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", si
     named = classes.select("s1", "s2", "cid").join(labels, F.col("cid") == F.col("node")).select("s1", "s2", "label")
     docs = rows.select("id", "row_key", "s1", "s2", "n")
     d = materialise(docs.join(named, ["s1", "s2"], "left").select("id", "row_key", "n", F.when(F.col("label").isNotNull(), F.struct(F.col("label").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(True).alias("z"))).otherwise(F.struct(F.col("s1").alias("x"), F.col("s2").alias("y"), F.lit(False).alias("z"))).alias("k")), "keyed")
-    least = d.filter("n > 0").groupBy("k").agg(F.min("id").alias("least"), F.min(F.struct("id", "row_key")).alias("first"))
+    least = materialise(d.filter("n > 0").groupBy("k").agg(F.min("id").alias("least"), F.min(F.struct("id", "row_key")).alias("first")), "least")  # so that the join below can split a large component
     some = d.filter("n > 0").join(least, "k").select("id", "row_key", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), (F.struct("id", "row_key").eqNullSafe(F.col("first"))).alias("keep"))
     none = d.filter("n = 0").select("id", "row_key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("keep"))
     return some.union(none).withColumnRenamed("id", id)
