@@ -375,18 +375,26 @@ class Parsed:
     layers: int = 0
     entries: list[Entry] = field(default_factory=list)
     dictionary: bytes | None = None
-    frames: dict[int, bytes] = field(default_factory=dict)
+    frames: dict[int, tuple[bytes, int]] = field(default_factory=dict)  # compressed, and the most that they may hold
     overrides: dict[int, dict] = field(default_factory=dict)
+    cache: tuple[int, bytes] = (-1, b"")
 
     def of(self, kind: str) -> list[Chunk]:
         return [c for c in self.chunks if c.offset and c.kind == kind]
 
+    def frame(self, index: int) -> bytes:
+        """A layer chunk's output; only the last one is kept."""
+        if self.cache[0] != index:
+            if index not in self.frames:
+                raise Fault("ltbl.first_layr_in_range", str(index))
+            raw, most = self.frames[index]
+            self.cache = (index, unzstd(raw, most, self.dictionary if dict_id(raw) else None))
+        return self.cache[1]
+
     def slice(self, e: Entry) -> bytes:
         if not e.data_size:
             return b""
-        frame = self.frames.get(e.first_layr)
-        if frame is None:
-            raise Fault("ltbl.first_layr_in_range", str(e.first_layr))
+        frame = self.frame(e.first_layr)
         if e.data_offset + e.data_size > len(frame):
             raise Fault("ltbl.offset_within_chunk", f"{e.data_offset} + {e.data_size} of {len(frame)}")
         return frame[e.data_offset : e.data_offset + e.data_size]
@@ -403,7 +411,7 @@ def payload_of(c: Chunk) -> bytes:
 
 
 def read(data: bytes) -> Parsed:
-    """Opens a file without validating it; what is malformed raises Fault."""
+    """Opens a file without validating it; what is malformed raises Fault.  Frames are decompressed when first asked for."""
     h = parse_header(data)
     if h.magic != MAGIC:
         raise Fault("header.magic", repr(h.magic))
@@ -421,8 +429,7 @@ def read(data: bytes) -> Parsed:
     for e in p.entries:
         slices[e.first_layr] = slices.get(e.first_layr, 0) + (e.data_size > 0)
     for c in clear("LAYR"):
-        frame = c.payload[4:]
-        p.frames[c.index] = unzstd(frame, max(slices.get(c.index, 0), 1) * (5 * pixels + 64), p.dictionary if dict_id(frame) else None)
+        p.frames[c.index] = (c.payload[4:], max(slices.get(c.index, 0), 1) * (5 * pixels + 64))
     for c in clear("LROV"):
         p.overrides[c.index] = json_object(payload_of(c), "lrov.json")
     return p

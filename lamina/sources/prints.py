@@ -8,10 +8,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.ints import bits
+from ..operators import settings as S
+from ..operators.previews import png, role_rank
 from . import format as X
-from .codec import decode, runs_of_spans
+from .codec import decode, mask_of_runs, runs_of_spans
 from .encode import Print, build
+from .sealing import open_file, session_key
 
 FILES = "path string, content binary"
 HEADS = "file_id string, encoder string, created long, width long, height long, build_w long, build_d long, build_h long, layer_height_um long, total_layers long"
@@ -56,6 +61,22 @@ class PrintFiles:
     def load(cls, spark: SparkSession, path: str) -> PrintFiles:
         return cls(spark.read.format("binaryFile").load(path).select("path", "content"))
 
+    def validated(self, strict: bool = False, key: bytes | None = None) -> PrintFiles:
+        """Only the files that break no rule of the level."""
+        from ..operators.rules import at_level
+        from ..operators.validate import validate
+
+        bad = at_level(validate(self.files, key=key), strict).select(F.col("file_id").alias("path")).distinct()
+        return PrintFiles(self.files.join(bad, "path", "left_anti"))
+
+    def opened(self, label: bytes, password: str | None = None, secret: bytes | None = None) -> PrintFiles:
+        """Encrypted files as plain ones, by password or by a machine's secret key; raises where no key is found."""
+
+        def rows(name, data):
+            yield (name, open_file(data, *session_key(data, label, password, secret)) if X.parse_header(data).flags & X.ENCRYPTED else data)
+
+        return PrintFiles(_each(self.files, FILES, rows, 1))
+
     def heads(self) -> DataFrame:
         def rows(name, data):
             h = X.read(data).head
@@ -119,6 +140,57 @@ class PrintFiles:
 
         return _each(self.files, RUNS, rows)
 
+    def layer(self, index: int, primary: bool = True) -> DataFrame:
+        """(file_id, sector_id, mask) of one layer: the primary sector's (black if it has no bytes), or of all sectors with bytes.
+
+        Only the frames that the layer's entries name are decompressed.
+        """
+
+        def rows(name, data):
+            p = X.read(data)
+            pixels = p.head.width * p.head.height
+            for e in p.entries:
+                if e.layer == index and (e.sector == 0 if primary else e.data_size):
+                    yield (name, e.sector, mask_of_runs(decode(p.slice(e), pixels), pixels).tobytes())
+
+        return _each(self.files, "file_id string, sector_id long, mask binary", rows, 4)
+
+    def layer_images(self, index: int) -> DataFrame:
+        """(file_id, image): one layer's primary mask as PNG."""
+
+        def rows(name, data):
+            p = X.read(data)
+            h = p.head
+            for e in p.entries:
+                if e.layer == index and e.sector == 0:
+                    mask = mask_of_runs(decode(p.slice(e), h.width * h.height), h.width * h.height)
+                    yield (name, png(mask.reshape(h.height, h.width)))
+
+        return _each(self.files, "file_id string, image binary", rows, 4)
+
+    def previews(self) -> DataFrame:
+        return self.chunks().filter("chunk_type = 'PREV'").select("file_id", "dir_index", F.col("flags").bitwiseAND(15).cast("int").alias("role"), (F.col("flags").bitwiseAND(X.SEALED) != 0).alias("sealed"), F.col("payload").alias("image"))
+
+    def thumbnails(self) -> DataFrame:
+        """The clear preview of the most wanted role of each file."""
+        best = F.min_by(F.struct("dir_index", "role", "image"), F.struct(role_rank(F.col("role")), "dir_index"))
+        return self.previews().filter("not sealed").groupBy("file_id").agg(best.alias("b")).select("file_id", "b.dir_index", "b.role", "b.image")
+
+    def extensions(self) -> DataFrame:
+        c = self.chunks().filter("chunk_type = 'EXTD'")
+        return c.select("file_id", "dir_index", bits(F.col("flags"), 8, 16).alias("vendor"), (bits(F.col("flags"), 24, 1) == 1).alias("critical"), F.decode(F.substring("payload", 5, 4), "US-ASCII").alias("ext_type"), F.expr("substring(payload, 9)").alias("data"))
+
+    def resolved(self) -> DataFrame:
+        """Settings of every entry: base, sector and override from the file's own JSON."""
+        keys = (*S.KEYS, *S.COUNTS)
+        schema = "struct<" + ", ".join([f"{k}: bigint" for k in keys] + [f"{k}: double" for k in S.PASSED]) + ">"
+        objects = self.objects()
+        base = objects.filter("chunk_type = 'META'").groupBy("file_id").agg(F.min_by("json", "dir_index").alias("json")).select("file_id", F.from_json("json", schema).alias("base"), F.from_json(F.get_json_object("json", "$.sectors"), f"array<struct<sector_id: bigint, {schema[7:]}>").alias("sectors"))
+        own = base.select("file_id", F.explode("sectors").alias("s")).select("file_id", F.col("s.sector_id").alias("sector_id"), F.struct(*[F.col(f"s.{k}").alias(k) for k in (*keys, *S.PASSED)]).alias("sector"))
+        over = objects.filter("chunk_type = 'LROV'").select("file_id", F.col("dir_index").cast("long").alias("first_lrov"), F.from_json("json", schema).alias("override"))
+        points = self.entries().select("file_id", "layer", "sector_id", "first_lrov").join(base.select("file_id", "base"), "file_id").join(own, ["file_id", "sector_id"], "left").join(over, ["file_id", "first_lrov"], "left")
+        return S.resolve(points).drop("base", "sector", "override", "first_lrov")
+
     def leaves(self) -> DataFrame:
         """Leaf hashes of the data, with the stored root (null without one)."""
 
