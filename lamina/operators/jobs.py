@@ -17,9 +17,14 @@ def containers(own: str, other: str, last: str = "material") -> list[str]:
     return [p for name in (own, other) for p in (name, f"{name}.timing", f"export.{name}", f"export.{name}.timing")] + [last]
 
 
+def parsed(job: Column) -> Column:
+    """The job as a variant, null where it is no JSON.  Make it a column of its own, so that it is parsed once."""
+    return F.try_parse_json(job)
+
+
 def number(job: Column, places: Sequence[str], *keys: str) -> Column:
     """The first finite number, or string spelling one, under the first of keys in the first of places; null if none."""
-    found = F.array(*[F.trim(F.get_json_object(job, f"$.{p}.{key}")).try_cast("double") for key in keys for p in places])
+    found = F.array(*[F.trim(F.try_variant_get(job, f"$.{p}.{key}", "string")).try_cast("double") for key in keys for p in places])
     return F.get(F.filter(found, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), 0)
 
 
@@ -83,7 +88,7 @@ BOTTOM_WAITS = {
 
 
 def settings_of_job(job: Column, places: Sequence[str]) -> dict[str, Column]:
-    """Columns of settings for a job's JSON; null is absent."""
+    """Columns of settings for a parsed job; null is absent."""
     get = lambda *keys: number(job, places, *keys)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = {
@@ -107,4 +112,4 @@ def settings_of_job(job: Column, places: Sequence[str]) -> dict[str, Column]:
 
 def required_scene(job: Column, flag: str, payload: str) -> Column:
     """The embedded scene's bytes where the flag is true (null where the payload is missing: an error), else null."""
-    return F.when(F.get_json_object(job, f"$.{flag}") == "true", F.try_to_binary(F.get_json_object(job, f"$.{payload}"), F.lit("base64")))
+    return F.when(F.try_variant_get(job, f"$.{flag}", "string") == "true", F.try_to_binary(F.try_variant_get(job, f"$.{payload}", "string"), F.lit("base64")))

@@ -139,7 +139,7 @@ def job_value_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.aggregate(F.reverse(parts), inner, lambda acc, p: F.concat(F.lit('{"'), p, F.lit('":'), acc, F.lit("}")))
     found = J.settings_of_job(F.col("job"), _PLACES)
     names = ("lift_slow_distance_um", "retract_fast_distance_um", "light_pwm", "bottom_wait_time_after_cure_ms")
-    return table(spark, sf_dir, "events").select("event_id", nested.alias("job")).select("event_id", *[found[x].alias(x) for x in names])
+    return table(spark, sf_dir, "events").select("event_id", J.parsed(nested).alias("job")).select("event_id", *[found[x].alias(x) for x in names])
 
 
 @settings.add("SELECT p_partkey, (CASE WHEN p_size > 0 THEN CAST(floor(p_retailprice) AS BIGINT) * 1000 // p_size END)::BIGINT AS pixel_um FROM part")
