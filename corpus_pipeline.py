@@ -1,11 +1,15 @@
 """The corpus pipeline: documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the
-columns of documents; run() writes each stage's rows to the shared folder and reads them again.
+columns of documents; run() writes each stage's rows to the shared folder and reads them again.  Further columns are
+carried along, whatever their names.  A null text counts as empty: it links with nothing, loses nothing, is not mixed in.
+Rows that are repeated whole are near duplicates of each other.  No documents give no pieces.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +19,31 @@ from lamina.llm.queries import tokenizer_path
 from lamina.session import ship
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def guarded(stage):
+    """The stage with all columns but COLUMNS renamed while it runs, so that none clashes with its own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in COLUMNS else f"extra_column_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(ship(spark), docs.toDF(*names), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == names else out
+
+    return run
+
+
+@guarded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from all labels of quality, doesn't reject (score below 0.3)."""
-    model = nbsvm.fit(docs, table(ship(spark), sf_dir, "labels"), F.lit(True))
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return nbsvm.classify(docs, model).filter("predicted = 1").select(docs.columns)
 
 
+@guarded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
-    ship(spark)
     found = jaccard.jaccard_components(docs, size=5, percent=80)
     kept = found.filter("keep").select(F.col("doc_id").alias("kept_id"), "row_key").distinct()
     rows = docs.withColumn("row_key", F.xxhash64(*docs.columns)).alias("d")
@@ -31,13 +51,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one.dropDuplicates(["row_key", "doc_id"]).select(docs.columns)
 
 
+@guarded
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that also stand elsewhere."""
-    ship(spark)
     out = substrings.dedup_substrings(docs, window=50, keep_untouched=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@guarded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; the last may be a run of its words."""
     mixed = mixing.mix_sources(docs.withColumns({"mix_size": word_count(F.col("text")), "mix_key": F.xxhash64("doc_id", "text")}), "source", "mix_size", "mix_key")
@@ -48,9 +69,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@guarded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    ship(spark)
     return packing.pack(docs, tokenizer_path())
 
 
