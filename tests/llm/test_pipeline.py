@@ -53,3 +53,20 @@ def test_stages_one_by_one(spark):
     assert pipeline.ORACLE_SQL is None
     whole = pipeline.run(spark, SF)
     assert whole.count() == after.count() and whole.columns == after.columns
+
+
+def test_odd_documents(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, row_key long, copies int, predicted string, tile string, size string"
+    words_ = " ".join(f"plain{i % 97} word{i}" for i in range(200))
+    rows = [(1, words_, "en", "a", 1, 9, 8, "0", "t", "s"), (1, words_, "en", "a", 1, 9, 8, "0", "t", "s"), (2, None, None, None, None, None, None, None, None, None), (3, "", "en", "a", 0, 1, 1, "1", "u", "v"), (4, words_ + " more", "en", None, 5, 1, 1, "1", "u", "v"), (None, "other text here", "de", "b", 5, 1, 1, "1", "u", "v")]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, names)
+        for name, stage in pipeline.STAGES:
+            out = materialise(stage(spark, docs, SF), "odd")
+            if name != "packing":
+                assert out.columns == docs.columns
+                if name == "n-gram Jaccard join" and data:
+                    assert out.filter("doc_id in (1, 4)").count() == 1 and out.filter("doc_id in (1, 4)").first()["copies"] == 8
+                docs = out
+            else:
+                assert (out.count() > 0) == bool(data)
