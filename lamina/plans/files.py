@@ -125,3 +125,26 @@ def inspector_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directory as an inspector lists it."""
     c = PrintFiles(written(spark, sf_dir)).chunks()
     return c.select("file_id", "dir_index", "chunk_type", "offset", "size_uncompressed", "size_compressed", "flags", F.crc32("payload").alias("crc32"))
+
+
+@files.add("SELECT (l % 4)::VARCHAR AS file_id, 0::BIGINT AS failures, true AS head_first FROM (SELECT DISTINCT user_id AS l FROM events) GROUP BY 1")
+def container_directory_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and directories by expressions alone, and their framing rules."""
+    from ..sources.directory import descriptors, framing_report
+
+    f = written(spark, sf_dir)
+    bad = framing_report(f).groupBy("file_id").agg(F.count("*").alias("n"))
+    first = descriptors(f).groupBy("file_id").agg((F.min_by("chunk_type", "dir_index") == "HEAD").alias("head_first"))
+    return first.join(bad, "file_id", "left").select("file_id", F.coalesce("n", F.lit(0)).cast("long").alias("failures"), "head_first")
+
+
+@files.add("""SELECT p_partkey, field, expected, found FROM (
+ SELECT p_partkey, 'p_size' AS field, p_size::VARCHAR AS expected, (p_size + 1)::VARCHAR AS found FROM part WHERE p_partkey % 9 = 0 AND p_partkey % 10 <> 0
+ UNION ALL SELECT p_partkey, 'missing', NULL, NULL FROM part WHERE p_partkey % 10 = 0)""")
+def manifest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expected table against a found one, with planted differences."""
+    from ..operators.compare import differences
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    found = p.filter("p_partkey % 10 <> 0").withColumn("p_size", F.when(F.col("p_partkey") % 9 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return differences(p, found, ["p_partkey"])
