@@ -7,8 +7,9 @@ of the filter, of its own size.  Workers get the filter by broadcast and score w
 
     p(w | v) = (min(c(v w), c(v)) + k p(w)) / (c(v) + k),   p(w) = (c(w) + 1) / (N + V + 1)
 
-The base score uses exact counts, which the buckets answer to the tiles.  If the pair filter is larger than
-`slice_bytes`, it is broadcast in slices, one after the other; a pass scores the pairs whose keys lie in its slice.
+The base score uses exact counts, which the buckets answer to the tiles.  A filter of more than `broadcast_bytes` is not
+broadcast: tiles then offer all their words and pairs, each bucket builds its segment and probes it for them, and the
+levels go back to the tiles, which gives the same scores by one more exchange.
 """
 
 from __future__ import annotations
@@ -122,13 +123,12 @@ class Tokens:
         return np.bincount(self.doc, weights=values, minlength=len(self.counts))
 
 
-def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text", strength: float = 64.0, slice_bytes: int = 256 << 20, word_bytes: int = 2 << 30) -> DataFrame:
+def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text", strength: float = 64.0, broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Per row of df: id, trained, n_tokens, n_known, train_tokens, base_score, score (log10 of the whole text).
 
     train: which rows the counts come from (null: not).  A null text counts as empty: its end mark alone.  Repeated
     rows count, and are scored, each on its own.  With no training row, N and V are 0 and every token has base
-    probability 1.  An empty table stays empty.  The word filter must fit in word_bytes (8 bits for each word and
-    level of its count), or ValueError is raised.
+    probability 1.  An empty table stays empty.
     """
     spark = df.sparkSession
     total = text_bytes(df, text)
@@ -177,25 +177,17 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
 
     sizes = {r[0]: r[1:] for r in both.filter("kind is not null").groupBy("kind").agg(F.sum("distinct"), F.sum("tokens"), F.sum(F.octet_length("segment"))).collect()}
     v, n, word_size = sizes.get(WORD, (0, 0, 0))
-    if word_size > word_bytes:
-        raise ValueError(f"the word filter takes {word_size} bytes, more than word_bytes = {word_bytes}")
-
-    def read(condition) -> dict[int, bytes]:
-        return {r[0]: bytes(r[1]) for r in both.filter(condition).select("bucket", "segment").toLocalIterator()}
-
-    slices = max(1, -(-(sizes.get(PAIR, (0, 0, 0))[2]) // slice_bytes))
-    words = spark.sparkContext.broadcast(Filter(read(F.col("kind") == WORD), buckets))
-    passes = []
-    for s in range(slices):
-        low, high = buckets * s // slices, buckets * (s + 1) // slices
-        pairs = spark.sparkContext.broadcast(Filter(read((F.col("kind") == PAIR) & F.col("bucket").between(low, high - 1)), buckets))
-        passes.append(_score_pass(docs, words, pairs, low, high, buckets, n, v, strength, df.schema[id].dataType))
-    scored = passes[0]
-    if slices > 1:
-        rows = passes[0].withColumn("copy", F.row_number().over(_same_rows()))
-        for p in passes[1:]:
-            rows = rows.union(p.withColumn("copy", F.row_number().over(_same_rows())))
-        scored = rows.groupBy("id", "row_key", "train", "copy").agg(F.sum("score").alias("score")).drop("copy")
+    pair_size = sizes.get(PAIR, (0, 0, 0))[2]
+    whole, kind = float(n + v + 1), df.schema[id].dataType
+    if word_size + pair_size <= broadcast_bytes:
+
+        def read(kind: int) -> Filter:
+            return Filter({r[0]: bytes(r[1]) for r in both.filter(F.col("kind") == kind).select("bucket", "segment").toLocalIterator()}, buckets)
+
+        shared = spark.sparkContext.broadcast((read(WORD), read(PAIR)))
+        scored = _score_by_broadcast(docs, shared, buckets, whole, strength, kind)
+    else:
+        scored = _score_by_exchange(d, buckets, whole, strength, kind)
     once = both.filter("kind is null").groupBy("id", "row_key").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("logs").alias("logs"))
     a, b = scored.alias("a"), once.alias("b")
     return a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.row_key") == F.col("b.row_key"))).select(
@@ -209,36 +201,63 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
     )
 
 
-def _same_rows():
-    from pyspark.sql import Window
+def _token_logs(t: Tokens, single: np.ndarray, pair: np.ndarray, starts: float, whole: float, strength: float) -> np.ndarray:
+    """log10 of each token's probability from the counts of words and of pairs."""
+    history = np.empty_like(single)
+    history[1:] = single[:-1]
+    history[t.before == START] = starts
+    return np.log10((np.minimum(pair, history) + strength * (single + 1) / whole) / (history + strength))
 
-    return Window.partitionBy("id", "row_key").orderBy("score")
 
+def _scored(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("id", kind), T.StructField("train", T.BooleanType()), T.StructField("row_key", T.LongType()), T.StructField("score", T.DoubleType())])
 
-def _score_pass(docs: DataFrame, words: Broadcast, pairs: Broadcast, low: int, high: int, buckets: int, n: int, v: int, strength: float, kind: T.DataType) -> DataFrame:
-    """The log10 probabilities of the tokens whose pair lies in buckets low .. high - 1, added up by text."""
-    whole = float((n or 0) + (v or 0) + 1)
 
+def _score_by_broadcast(docs: DataFrame, shared: Broadcast, buckets: int, whole: float, strength: float, kind: T.DataType) -> DataFrame:
     def score(stream):
-        known, seen = words.value, pairs.value
-        starts = None
+        words, pairs = shared.value
+        end = np.array([END])
+        starts = float(expected(words.level(end, bucket_of(end, buckets)))[0])
         for batch in batches(stream, "text", 2 << 20):
-            t = Tokens(batch.column(batch.schema.get_field_index("text")))
-            if starts is None:
-                end = np.array([END])
-                starts = expected(known.level(end, bucket_of(end, buckets)))[0]
+            at = batch.schema.get_field_index
+            t = Tokens(batch.column(at("text")))
             distinct, back = np.unique(t.token, return_inverse=True)
-            single = expected(known.level(distinct, bucket_of(distinct, buckets)))[back]
-            history = np.empty_like(single)
-            history[1:] = single[:-1]
-            history[t.before == START] = starts
+            single = expected(words.level(distinct, bucket_of(distinct, buckets)))[back]
             distinct, back = np.unique(narrow(t.pair, buckets), return_inverse=True)  # ascending, so by bucket
-            both = np.minimum(expected(seen.level(distinct, (distinct >> U64(32)).astype(np.int64)))[back], history)
-            logs = np.log10((both + strength * (single + 1) / whole) / (history + strength))
-            if high - low < buckets:
-                bucket = bucket_of(t.pair, buckets)
-                logs[(bucket < low) | (bucket >= high)] = 0
-            at = batch.schema.get_field_index
+            pair = expected(pairs.level(distinct, (distinct >> U64(32)).astype(np.int64)))[back]
+            logs = _token_logs(t, single, pair, starts, whole, strength)
             yield pa.RecordBatch.from_arrays([batch.column(at("id")), batch.column(at("train")), batch.column(at("row_key")), pa.array(t.sums(logs))], names=["id", "train", "row_key", "score"])
 
-    return docs.mapInArrow(score, T.StructType([T.StructField("id", kind), T.StructField("train", T.BooleanType()), T.StructField("row_key", T.LongType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(score, _scored(kind))
+
+
+def _score_by_exchange(d: DataFrame, buckets: int, whole: float, strength: float, kind: T.DataType) -> DataFrame:
+    @trimmed
+    def offers(table: pa.Table) -> pa.Table:
+        tile, t = table.column("tile")[0].as_py(), Tokens(table.column("text"))
+        learn = table.column("train").to_numpy()[t.doc]
+        parts = [Offer(t.token, buckets, False, learn).rows(tile, np.uint32), Offer(t.pair, buckets, True, learn).rows(tile, np.uint32)]
+        return pa.concat_tables(parts).append_column("kind", pa.array([WORD] * parts[0].num_rows + [PAIR] * parts[1].num_rows, pa.int32()))
+
+    @trimmed
+    def probe(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        keys, totals, inverse, at = gathered(table, kind == PAIR, np.uint32)
+        if kind == PAIR:
+            keys = (U64(bucket) << U64(32)) | keys.astype(np.uint64)
+        held = Filter({0: build_segment(keys[totals > 0], totals[totals > 0])}, 1)
+        flat = held.level(keys, np.zeros(len(keys), np.int64)).astype(np.uint8)[inverse]
+        return pa.table([table.column("tile"), table.column("bucket"), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()), table.column("kind")], names=["tile", "bucket", "answer", "kind"])
+
+    @trimmed
+    def score(table: pa.Table, found: pa.Table) -> pa.Table:
+        t = Tokens(table.column("text"))
+        kinds = found.column("kind").to_numpy()
+        words, pairs = Offer(t.token, buckets, False), Offer(t.pair, buckets, True)
+        single = expected(words.read(found.filter(pa.array(kinds == WORD)))[words.inverse].astype(np.int64))
+        pair = expected(pairs.read(found.filter(pa.array(kinds == PAIR)))[pairs.inverse].astype(np.int64))
+        logs = _token_logs(t, single, pair, float(single[t.token == END][0]), whole, strength)
+        return pa.table([table.column("id"), table.column("train"), table.column("row_key"), pa.array(t.sums(logs))], names=["id", "train", "row_key", "score"])
+
+    got = d.groupBy("tile").applyInArrow(offers, OFFERS + ", kind int").groupBy("kind", "bucket").applyInArrow(probe, ANSWERS + ", kind int")
+    return d.groupBy("tile").cogroup(got.groupBy("tile")).applyInArrow(score, _scored(kind))

@@ -2,7 +2,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import lm
@@ -47,13 +46,14 @@ def exact(docs, train, strength):
     return out
 
 
-@pytest.mark.parametrize("slice_bytes", [256 << 20, 700])
-def test_scores(spark, slice_bytes, monkeypatch):
+def test_scores(spark, monkeypatch):
     monkeypatch.setattr("lamina.llm.lm.buckets_for", lambda n: 4)
     docs = corpus(5) + [(500, "A a  A"), (500, "A a  A"), (None, "b")]
     train = lambda d: d is not None and d % 3 != 0
     df = spark.createDataFrame(docs, DOCS)
-    got = lm.score_texts(df, F.col("doc_id") % 3 != 0, slice_bytes=slice_bytes).collect()
+    got = lm.score_texts(df, F.col("doc_id") % 3 != 0).collect()
+    routed = lm.score_texts(df, F.col("doc_id") % 3 != 0, broadcast_bytes=0).collect()
+    assert sorted(map(str, got)) == sorted(map(str, routed))  # the way without a broadcast gives the same scores
     key = lambda x: (str(x[0]), x[1], x[4])
     mine = sorted([(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got], key=key)
     want = sorted(exact(docs, train, 64.0), key=key)
@@ -70,5 +70,4 @@ def test_no_training_rows_clashes_and_empty_tables(spark):
     got = lm.score_texts(df, F.lit(False)).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
     assert lm.score_texts(df.limit(0), F.lit(True)).count() == 0
-    with pytest.raises(ValueError):
-        lm.score_texts(df, F.lit(True), word_bytes=1)
+    assert lm.score_texts(df.limit(0), F.lit(True), broadcast_bytes=0).count() == 0
