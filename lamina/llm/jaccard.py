@@ -142,36 +142,8 @@ def shingle_sets(df: DataFrame, id: str, text: str, size: int, percent: int) ->
     return d.groupBy("tile").cogroup(got.groupBy("tile")).applyInArrow(choose, schema)
 
 
-def linked_sets(sets: DataFrame, percent: int, most_items: int = 1 << 20) -> DataFrame:
-    """sets (cid, n, prefix, items; one row per distinct set) -> (node, label) for those with links to other sets."""
-    entries = sets.select("cid", F.explode("prefix").alias("key"))
-    lead = entries.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
-    near = connected_components(entries.join(lead, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct())
-    step = -float(np.log(percent / 100)) * 1.000001  # so that rounding never puts two compatible sizes two classes apart
-    s = sets.join(near, F.col("cid") == F.col("node")).select("cid", F.col("label").alias("g"), "n", "items", F.floor(F.log("n") / F.lit(step)).cast("int").alias("i"))
-    small = s.select("g", "i", "n")
-    parts = materialise(small.groupBy("g", "i").agg(F.sum("n").alias("items_n")), "parts")
-    whole = parts.groupBy("g").agg(F.sum("items_n").alias("group_n"))
-    bins = max(1, -(-(whole.filter(F.col("group_n") <= most_items).agg(F.sum("group_n")).first()[0] or 0) // most_items))
-    split = parts.join(whole.filter(F.col("group_n") > most_items), "g").select("g", "i", F.ceil(F.col("items_n") / most_items).cast("int").alias("p"))
-    hashed = F.xxhash64("g").cast("string")
-    little = s.join(split.select("g").distinct(), "g", "left_anti").select("cid", "items", F.concat(F.lit("w"), F.pmod(F.xxhash64("g"), F.lit(bins)).cast("string")).alias("task"))
-    around = split.alias("m").join(split.select("g", F.col("i").alias("j"), F.col("p").alias("q")).alias("o"), "g").filter("abs(i - j) <= 1").groupBy("g", "i").agg(F.max("p").alias("p"), F.collect_list(F.struct("j", "q")).alias("others"))
-    mine = F.pmod(F.xxhash64("cid"), F.col("p")).cast("int")
-    name = lambda i, p, j, q: F.concat_ws("/", hashed, i.cast("string"), p.cast("string"), j.cast("string"), q.cast("string"))
-    big = (
-        s.join(around, ["g", "i"])
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode("others"))
-        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("other.q") - 1)))
-        .withColumn(
-            "task",
-            F.when(F.col("other.j") > F.col("i"), name(F.col("i"), F.col("mine"), F.col("other.j"), F.col("q")))
-            .when(F.col("other.j") < F.col("i"), name(F.col("other.j"), F.col("q"), F.col("i"), F.col("mine")))
-            .otherwise(name(F.col("i"), F.least("mine", "q"), F.col("i"), F.greatest("mine", "q"))),
-        )
-        .select("cid", "items", "task")
-    )
+def _links(tasks: DataFrame, percent: int) -> DataFrame:
+    """tasks (cid, items, task) -> links (a, b) that join the linked sets of each task, at most one for each set."""
 
     @trimmed
     def link(table: pa.Table) -> pa.Table:
@@ -183,7 +155,49 @@ def linked_sets(sets: DataFrame, percent: int, most_items: int = 1 << 20) -> Dat
         some = root != np.arange(len(root))
         return pa.table({"a": pa.array(cid[root[some]]), "b": pa.array(cid[some])})
 
-    links = little.union(big).groupBy("task").applyInArrow(link, "a long, b long")
+    return materialise(tasks.select("cid", "items", "task").groupBy("task").applyInArrow(link, "a long, b long"), "links")
+
+
+def linked_sets(sets: DataFrame, percent: int, most_items: int = 1 << 20) -> DataFrame:
+    """sets (cid, n, prefix, items; one row per distinct set) -> (node, label) for those with links to other sets.
+
+    Sets that share prefix shingles, possibly through others, form groups.  Groups of up to most_items shingles share
+    tasks.  A larger group is cut into blocks by size class and hash.  Its blocks are joined within; then one set of
+    each component so found meets those of other blocks; then only pairs of blocks of compatible sizes that aren't
+    both wholly in the group's main component are joined.  So a large group of near copies costs no pairs of blocks.
+    """
+    entries = sets.select("cid", F.explode("prefix").alias("key"))
+    lead = entries.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
+    near = connected_components(entries.join(lead, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+    step = -float(np.log(percent / 100)) * 1.000001  # so that rounding never puts two compatible sizes two classes apart
+    s = sets.join(near, F.col("cid") == F.col("node")).select("cid", F.col("label").alias("g"), "n", "items", (F.floor(F.log("n") / F.lit(step)) if step else F.col("n")).cast("int").alias("i"))
+    parts = materialise(s.groupBy("g", "i").agg(F.sum("n").alias("items_n")), "parts")
+    whole = parts.groupBy("g").agg(F.sum("items_n").alias("group_n"))
+    bins = max(1, -(-(whole.filter(F.col("group_n") <= most_items).agg(F.sum("group_n")).first()[0] or 0) // most_items))
+    large = whole.filter(F.col("group_n") > most_items).select("g")
+    little = s.join(large, "g", "left_anti").withColumn("task", F.pmod(F.xxhash64("g"), F.lit(bins)).cast("string"))
+    links = _links(little, percent)
+    if not large.head(1):
+        return connected_components(links)
+
+    split = parts.join(large, "g").select("g", "i", F.ceil(F.col("items_n") / most_items).cast("int").alias("p"))
+    big = materialise(s.join(split, ["g", "i"]).withColumn("block", F.concat_ws("/", "g", "i", F.pmod(F.xxhash64("cid"), F.col("p")).cast("string"))), "blocks")
+    links = links.union(_links(big.withColumn("task", F.col("block")), percent))
+
+    def labelled() -> DataFrame:
+        return big.join(connected_components(links), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
+
+    leaders = labelled().filter("cid = label")
+    rooms = leaders.groupBy("g").agg(F.ceil(F.sum("n") / most_items).alias("rooms"))
+    links = links.union(_links(leaders.join(rooms, "g").withColumn("task", F.concat_ws("/", "g", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("rooms")).cast("string"))), percent))
+
+    blocks = materialise(labelled().groupBy("g", "i", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "summary")
+    main = blocks.filter("low = high").groupBy("g", "low").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("low", F.struct("c", "low")).alias("main"))
+    rest = blocks.join(main, "g", "left").filter("main is null or low <> main or high <> main").select("g", F.col("i").alias("j"), F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = blocks.join(rest, "g").filter("abs(i - j) <= 1 and block <> other and not (low = high and low = low2 and low2 = high2)")
+    pairs = pairs.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).distinct().withColumn("task", F.concat_ws("+", "x", "y"))
+    tasks = pairs.select(F.col("x").alias("block"), "task").union(pairs.select("y", "task"))
+    links = links.union(_links(big.join(tasks, "block"), percent))
     return connected_components(links)
 
 

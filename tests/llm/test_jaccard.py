@@ -102,3 +102,16 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(101)} | {200: 200, 300: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_group_of_near_copies_needs_no_pairs_of_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    docs = list(enumerate(family(r, 200, 100, 1)))
+    calls = []
+    real = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda t, p: calls.append(t.select("task").distinct().count()) or real(t, p))
+    split = jaccard.linked_sets
+    monkeypatch.setattr(jaccard, "linked_sets", lambda s, p: split(s, p, most_items=2000))
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, DOCS), size=2, percent=70).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(docs, 2, 70))
+    assert calls[1] > 2 and calls[3] == 0  # several blocks, no pair of them
