@@ -43,7 +43,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RU.report(facts(spark, sf_dir), ["file"], {c: F.expr(w) for c, w in _BAD.items()})
 
 
-@files.add(f"{_REPORT_SQL} SELECT file, rank, 0 AS ordinal, \"check\", strict_only FROM r")
+@files.add(f"{_REPORT_SQL} SELECT file, rank, 0::BIGINT AS ordinal, \"check\", strict_only FROM r")
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir)
 

@@ -64,7 +64,7 @@ def settings_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("event_id", "layer", "sector_id", S.stage(F.col("layer"), *map(count, S.COUNTS)).alias("stage"))
 
 
-@settings.add(f"{_POINTS} SELECT event_id, ({_blend_sql('x', 'n')})::BIGINT AS exposure_ms, ({_blend_sql('bl', '5000')})::BIGINT AS lift_slow_distance_um, CASE WHEN layer < b THEN 255 ELSE 200 END AS light_pwm, layer < b AS is_bottom, layer >= b AND layer < b + t AS is_transition, 50 AS layer_height_um, 0 AS lift_fast_speed_um_min FROM pt")
+@settings.add(f"{_POINTS} SELECT event_id, ({_blend_sql('x', 'n')})::BIGINT AS exposure_ms, ({_blend_sql('bl', '5000')})::BIGINT AS lift_slow_distance_um, (CASE WHEN layer < b THEN 255 ELSE 200 END)::BIGINT AS light_pwm, layer < b AS is_bottom, layer >= b AND layer < b + t AS is_transition, 50::BIGINT AS layer_height_um, 0::BIGINT AS lift_fast_speed_um_min FROM pt")
 def settings_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumn("override", F.when(F.lit(False), F.col("base")))
     return S.resolve(p).select("event_id", "exposure_ms", "lift_slow_distance_um", "light_pwm", "is_bottom", "is_transition", "layer_height_um", "lift_fast_speed_um_min")
