@@ -54,3 +54,9 @@ def png(pixels: np.ndarray) -> bytes:
     lines = np.zeros((height, width + 1), np.uint8)
     lines[:, 1:] = pixels
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def pgm(pixels: np.ndarray) -> bytes:
+    """A grayscale image as binary PGM."""
+    height, width = pixels.shape
+    return b"P5\n%d %d\n255\n" % (width, height) + np.ascontiguousarray(pixels, np.uint8).tobytes()

@@ -66,6 +66,28 @@ def train(parts: list[bytes], level: int = 6) -> bytes | None:
     return trained if pays(parts, trained, level) else None
 
 
+def encode_layers(layers: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]], sectors: dict[int, list[int]], pixels: int, probe: bool = True, tags: dict[tuple[int, int], int] | None = None) -> tuple[dict, dict]:
+    """By (layer, sector) the stream of the primary form, and that of the attached form where the probe asks for it."""
+    first: dict[tuple[int, int], bytes] = {}
+    second: dict[tuple[int, int], bytes] = {}
+    for k, layer in layers.items():
+        for s in sectors[k]:
+            runs, tag = layer.get(s), (tags or {}).get((k, s))
+            first[k, s] = encode(runs, pixels, tag) if runs is not None else b""
+            second[k, s] = encode(runs, pixels, ATTACHED) if probe and tag is None and first[k, s] else first[k, s]
+    return first, second
+
+
+def choose_frame(first: list[bytes], second: list[bytes], level: int, dictionary: bytes | None) -> tuple[bytes, list[bytes]]:
+    """The smaller frame of a chunk's two forms, and its streams; a tie keeps the primary one."""
+    frame = X.zstd(b"".join(first), level, dictionary)
+    if first != second:
+        other = X.zstd(b"".join(second), level, dictionary)
+        if len(other) < len(frame):
+            return other, second
+    return frame, first
+
+
 def build(job: Print) -> bytes:
     """The file's bytes: a pure function of the job."""
     pixels = job.head.width * job.head.height
@@ -74,31 +96,24 @@ def build(job: Print) -> bytes:
     for at in job.overrides:
         if not 0 <= at[0] < len(job.layers):
             raise Fault("lrov.orphan", str(at))
-    sectors = [sorted({0, *layer, *(s for i, s in job.overrides if i == k)}) for k, layer in enumerate(job.layers)]
-    first: dict[tuple[int, int], bytes] = {}
-    second: dict[tuple[int, int], bytes] = {}
-    for k, layer in enumerate(job.layers):
-        for s in sectors[k]:
-            runs = layer.get(s)
-            tag = job.tags.get((k, s))
-            first[k, s] = encode(runs, pixels, tag) if runs is not None else b""
-            second[k, s] = encode(runs, pixels, ATTACHED) if job.probe and tag is None and first[k, s] else first[k, s]
+    sectors = {k: sorted({0, *layer, *(s for i, s in job.overrides if i == k)}) for k, layer in enumerate(job.layers)}
+    first, second = encode_layers(dict(enumerate(job.layers)), sectors, pixels, job.probe, job.tags)
     groups: dict[tuple[int, int], list[int]] = {}
     for k, s in sorted(first):
         groups.setdefault((k // job.per_chunk, s), []).append(k)
-    groups = {g: ks for g, ks in sorted(groups.items()) if any(first[k, g[1]] for k in ks)} or {(0, 0): groups.get((0, 0), [])}
-    plain = {g: b"".join(first[k, g[1]] for k in ks) for g, ks in groups.items()}
-    dictionary = train(list(plain.values()), job.level) if job.dictionary else None
+    groups = {g: ks for g, ks in sorted(groups.items()) if any(first[k, g[1]] for k in ks)}
+    dictionary = train([b"".join(first[k, g[1]] for k in ks) for g, ks in groups.items()], job.level) if job.dictionary else None
     frames, chosen = {}, dict(first)
     for g, ks in groups.items():
-        frames[g] = X.zstd(plain[g], job.level, dictionary)
-        other = b"".join(second[k, g[1]] for k in ks)
-        if other != plain[g]:
-            packed = X.zstd(other, job.level, dictionary)
-            if len(packed) < len(frames[g]):
-                frames[g] = packed
-                chosen |= {(k, g[1]): second[k, g[1]] for k in ks}
+        frames[g], streams = choose_frame([first[k, g[1]] for k in ks], [second[k, g[1]] for k in ks], job.level, dictionary)
+        chosen |= {(k, g[1]): x for k, x in zip(ks, streams)}
+    leaves = [X.leaf(b"".join(chosen[k, s] for s in sectors[k])) for k in range(len(job.layers))]
+    return lay_out(job, sectors, frames, {at: len(x) for at, x in chosen.items()}, leaves, dictionary)
+
 
+def lay_out(job: Print, sectors: dict[int, list[int]], frames: dict[tuple[int, int], bytes], sizes: dict[tuple[int, int], int], leaves: list[bytes], dictionary: bytes | None = None) -> bytes:
+    """The file from its frames by (layer group, sector) and the bytes of each (layer, sector); job.layers aren't read."""
+    frames = frames or {(0, 0): X.zstd(b"", job.level, dictionary)}
     chunks = [X.plain_chunk("HEAD", job.head.to_bytes()), X.json_chunk("META", job.meta)]
     if job.profile is not None:
         chunks.append(X.json_chunk("PROF", job.profile))
@@ -121,17 +136,17 @@ def build(job: Print) -> bytes:
     at_table = len(chunks)
     home = {g: at_table + 1 + job.hashes + i for i, g in enumerate(frames)}
     entries, offsets = [], dict.fromkeys(frames, 0)
-    for k in range(len(job.layers)):
+    for k in range(job.head.total_layers):
         own = [home[k // job.per_chunk, s] for s in sectors[k] if (k // job.per_chunk, s) in home]
         for j, s in enumerate(sectors[k]):
             g = (k // job.per_chunk, s)
-            size = len(chosen[k, s])
+            size = sizes.get((k, s), 0)
             entries.append(X.Entry(size, placed.get((k, s), 0), home.get(g, (own or [next(iter(home.values()))])[0]), len(sectors[k]) - 1 if j == 0 else 0, offsets.get(g, 0), s, k))
             if g in offsets:
                 offsets[g] += size
-    chunks.append(X.plain_chunk("LTBL", X.table_bytes(entries, len(job.layers))))
+    chunks.append(X.plain_chunk("LTBL", X.table_bytes(entries, job.head.total_layers)))
     if job.hashes:
-        chunks.append(X.plain_chunk("LHAS", X.hashes_bytes([X.leaf(b"".join(chosen[k, s] for s in sectors[k])) for k in range(len(job.layers))])))
+        chunks.append(X.plain_chunk("LHAS", X.hashes_bytes(leaves)))
     chunks += [X.layer_chunk(f) for f in frames.values()]
     chunks += [X.plain_chunk("EXTD", (1).to_bytes(4, "little") + kind + data, vendor << 8 | critical << 24) for vendor, critical, kind, data in job.extensions]
-    return X.assemble(chunks, X.MULTI_SECTOR if any(len(s) > 1 for s in sectors) else 0)
+    return X.assemble(chunks, X.MULTI_SECTOR if any(len(s) > 1 for s in sectors.values()) else 0)

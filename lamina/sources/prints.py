@@ -15,7 +15,7 @@ from ..operators import settings as S
 from ..operators.previews import png, role_rank
 from . import format as X
 from .codec import decode, mask_of_runs, runs_of_spans
-from .encode import Print, build
+from .encode import Print, choose_frame, encode_layers, lay_out
 from .sealing import open_file, session_key
 
 FILES = "path string, content binary"
@@ -168,6 +168,16 @@ class PrintFiles:
 
         return _each(self.files, "file_id string, image binary", rows, 4)
 
+    def frames(self) -> DataFrame:
+        """(file_id, dir_index, output) of each layer chunk: its decompressed bytes."""
+
+        def rows(name, data):
+            p = X.read(data)
+            for i in sorted(p.frames):
+                yield (name, i, p.frame(i))
+
+        return _each(self.files, "file_id string, dir_index int, output binary", rows, 4)
+
     def previews(self) -> DataFrame:
         return self.chunks().filter("chunk_type = 'PREV'").select("file_id", "dir_index", F.col("flags").bitwiseAND(15).cast("int").alias("role"), (F.col("flags").bitwiseAND(X.SEALED) != 0).alias("sealed"), F.col("payload").alias("image"))
 
@@ -204,26 +214,67 @@ class PrintFiles:
         return _each(self.files, LEAVES, rows)
 
 
+GROUPS = "file_id string, layer_group int, sector_id long, frame binary, layers array<int>, sizes array<long>, leaf_layers array<int>, leaves array<binary>"
+
+
+def encode_groups(spans: DataFrame, heads: DataFrame, per_chunk: int = 64, level: int = 6) -> DataFrame:
+    """A row for each chunk (GROUPS) from exposed spans (file_id, layer, sector_id, start, end, value).
+
+    The layers of one group meet in a task, with all their sectors; so a file is encoded by as many tasks as it has
+    groups.  The first chunk of a group also holds the leaf hashes of the group's layers that have spans.
+    """
+    sized = spans.join(heads.select("file_id", (F.col("width") * F.col("height")).cast("long").alias("pixels")), "file_id").withColumn("layer_group", F.floor(F.col("layer") / per_chunk).cast("int"))
+
+    def encode_group(key: tuple, table: pa.Table) -> pa.Table:
+        name, group = (x.as_py() if hasattr(x, "as_py") else x for x in key)
+        pixels = table.column("pixels")[0].as_py()
+        spans_of: dict[int, dict[int, list]] = {}
+        for layer, sector, a, b, v in zip(*(table.column(c).to_pylist() for c in ("layer", "sector_id", "start", "end", "value"))):
+            spans_of.setdefault(layer, {}).setdefault(sector, []).append((a, b, v))
+        layers = {k: {s: runs_of_spans(x, pixels) for s, x in v.items()} for k, v in sorted(spans_of.items())}
+        sectors = {k: sorted({0, *v}) for k, v in layers.items()}
+        first, second = encode_layers(layers, sectors, pixels)
+        rows, chosen = [], dict(first)
+        for s in sorted({s for _, s in first}):
+            ks = [k for k in layers if first.get((k, s))]
+            if ks:
+                frame, streams = choose_frame([first[k, s] for k in ks], [second[k, s] for k in ks], level, None)
+                chosen |= {(k, s): x for k, x in zip(ks, streams)}
+                rows.append({"file_id": name, "layer_group": group, "sector_id": s, "frame": frame, "layers": ks, "sizes": [len(x) for x in streams], "leaf_layers": [], "leaves": []})
+        if rows:
+            rows[0]["leaf_layers"] = list(layers)
+            rows[0]["leaves"] = [X.leaf(b"".join(chosen[k, s] for s in sectors[k])) for k in layers]
+        kinds = [("file_id", pa.string()), ("layer_group", pa.int32()), ("sector_id", pa.int64()), ("frame", pa.binary()), ("layers", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("leaf_layers", pa.list_(pa.int32())), ("leaves", pa.list_(pa.binary()))]
+        return pa.Table.from_pylist(rows, pa.schema(kinds))
+
+    return sized.groupBy("file_id", "layer_group").applyInArrow(encode_group, GROUPS)
+
+
 def write_prints(spans: DataFrame, heads: DataFrame, per_chunk: int = 64) -> DataFrame:
-    """(path, content) from exposed spans (file_id, layer, sector_id, start, end, value) and heads (file_id, width, height, total_layers, meta).
+    """(path, content) from exposed spans and heads (file_id, width, height, total_layers, meta).
 
-    A file is one value of bytes, so its spans meet in one task; files are independent.
+    Layer groups are encoded in parallel; only their frames meet in one task, as a file is one value of bytes.  No
+    dictionary is trained, as that would take the whole print; encode.build does for one print.
     """
+    groups = encode_groups(spans, heads, per_chunk)
 
     def pack(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        name = key[0].as_py() if hasattr(key[0], "as_py") else key[0]
         if not right.num_rows:
-            raise ValueError(f"no head for {key[0]}")
+            raise ValueError(f"no head for {name}")
         h = right.to_pylist()[0]
-        pixels = h["width"] * h["height"]
-        by: dict[tuple[int, int], list] = {}
-        columns = [left.column(c).to_pylist() for c in ("layer", "sector_id", "start", "end", "value")]
-        for layer, sector, a, b, v in zip(*columns):
-            by.setdefault((layer, sector), []).append((a, b, v))
-        layers: list[dict] = [{} for _ in range(h["total_layers"])]
-        for (layer, sector), parts in by.items():
-            layers[layer][sector] = runs_of_spans(parts, pixels)
-        head = X.Head("lamina", 0, h["width"], h["height"], 1000, 1000, 1000, 50, h["total_layers"])
-        data = build(Print(head, json.loads(h["meta"]), layers, per_chunk=per_chunk))
-        return pa.table({"path": pa.array([key[0].as_py() if hasattr(key[0], "as_py") else key[0]], pa.string()), "content": pa.array([data], pa.binary())})
-
-    return spans.groupBy("file_id").cogroup(heads.groupBy("file_id")).applyInArrow(pack, FILES)
+        n = h["total_layers"]
+        frames, sizes, leaves = {}, {}, [X.leaf(b"")] * n
+        sectors: dict[int, list[int]] = {k: [0] for k in range(n)}
+        for r in left.to_pylist():
+            frames[r["layer_group"], r["sector_id"]] = r["frame"]
+            for k, size in zip(r["layers"], r["sizes"]):
+                sizes[k, r["sector_id"]] = size
+                sectors[k] = sorted({*sectors[k], r["sector_id"]})
+            for k, x in zip(r["leaf_layers"], r["leaves"]):
+                leaves[k] = x
+        head = X.Head("lamina", 0, h["width"], h["height"], 1000, 1000, 1000, 50, n)
+        data = lay_out(Print(head, json.loads(h["meta"]), [], per_chunk=per_chunk), sectors, dict(sorted(frames.items())), sizes, leaves)
+        return pa.table({"path": pa.array([name], pa.string()), "content": pa.array([data], pa.binary())})
+
+    return groups.groupBy("file_id").cogroup(heads.groupBy("file_id")).applyInArrow(pack, FILES)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lamina.operators import rules as RU
-from lamina.operators.previews import fit, png, resample
+from lamina.operators.previews import fit, pgm, png, resample
 from lamina.operators.validate import failures, validate
 from lamina.plans.files import META
 from lamina.sources import format as X
@@ -324,8 +324,11 @@ def test_views_and_sink(spark, tmp_path):
     assert spans.filter("layer = 3 and sector_id = 1").first()["value"] == 128
     leaves = p.leaves().orderBy("layer").collect()
     assert X.merkle_root([bytes(r["leaf"]) for r in leaves]) == bytes(leaves[0]["root"])
+    assert p.frames().count() == sum(c.kind == "LAYR" for c in X.parse_directory(build(job(**VALID["extras"])), X.parse_header(build(job(**VALID["extras"])))))
     heads = spark.createDataFrame([(r["file_id"], 64, 48, 4, json.dumps(META)) for r in p.heads().collect()], "file_id string, width int, height int, total_layers int, meta string")
-    again = PrintFiles(write_prints(spans.select("file_id", "layer", "sector_id", "start", "end", "value"), heads, per_chunk=2)).runs(exposed=True)
+    made = write_prints(spans.select("file_id", "layer", "sector_id", "start", "end", "value"), heads, per_chunk=2)
+    assert validate(made).count() == 0
+    again = PrintFiles(made).runs(exposed=True)
     assert sorted(map(str, again.drop("file_id").collect())) == sorted(map(str, spans.drop("file_id").collect()))
 
 
@@ -338,6 +341,7 @@ def test_previews(spark):
     assert small.tolist() == [[1, 3], [9, 11]]
     import zlib
 
+    assert pgm(np.array([[1, 2]], np.uint8)) == b"P5\n2 1\n255\n\x01\x02"
     raw = png(np.array([[1, 2], [3, 4]], np.uint8))
     at = raw.index(b"IDAT")
     assert zlib.decompress(raw[at + 4 : at + 4 + struct.unpack(">I", raw[at - 4 : at])[0]]) == b"\0\1\2\0\3\4"
