@@ -1,10 +1,10 @@
 """Counting keys over all texts without bringing all rows of a key together.
 
-Texts are dealt to tiles of a few MB by a hash of the whole row, so copies of one text spread over all tiles (rows that are equal
-in every column, ids included, share one).  A
-tile offers each of its distinct keys once, with its own count, to the bucket that the key's hash names; a bucket
-adds up what the tiles offer and answers each tile, in the order of its offer.  A key that a third of all rows hold
-costs one entry for each tile, not one for each row.  A tile derives the same offer again when it reads the answer.
+Texts are dealt to tiles of a few MB by a hash of the whole row, so copies of one text spread over all tiles (rows that
+are equal in every column, ids included, share one).  A tile offers each of its distinct keys once, with its own count,
+to the bucket that the key's hash names; a bucket adds up what the tiles offer and answers each tile, in the order of
+its offer.  A key that a third of all rows hold costs one entry for each tile, not one for each row.  A tile derives the
+same offer again when it reads the answer.
 """
 
 from __future__ import annotations
