@@ -1,50 +1,108 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import ann
+from lamina.llm.queries import op5_multi_index_hashing
 
 from .common import SF
 
 SCHEMA = "vec_id long, embedding array<double>"
+LARGE = "/root/testdata/sf0.1"
 
 
-def brute(rows, k, asks):
-    good = [(i, np.array(v, float)) for i, v in rows]
+def vectors(rows):
+    good = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v]
+    good = [(i, v) for i, v in good if np.isfinite(v).all() and v.any()]
+    ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    return ids, ann.unit(x)
+
+
+def brute(ids, u, asks, k):
     out = {}
-    for i, q in good:
-        if asks(i):
-            s = [(-float((q * v).sum() / (np.sqrt((v * v).sum()) * np.sqrt((q * q).sum()))), j) for j, v in good if j != i]
-            out[i] = [(j, -a) for a, j in sorted(s)[:k]]
+    for i in np.flatnonzero(asks):
+        s = u @ u[i]
+        near = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:k]
+        out[int(ids[i])] = [int(ids[j]) for j in near]
     return out
 
 
-def test_recall_and_scores(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    want = brute(rows, 5, lambda i: i % 10 == 0)
-    vector = {i: np.array(v, float) for i, v in rows}
-    got = ann.nearest(df, F.col("id") % 10 == 0, shard_rows=100, block_rows=20).collect()
-    found = 0
-    for q in want:
-        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+def test_recall_and_scores_with_production_parameters(spark):
+    """The query itself at sf0.1: 40 queries of 2,000 rows."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{LARGE}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    ids, u = vectors(rows)
+    want = brute(ids, u, ids % 50 == 0, 5)
+    got = {}
+    for r in op5_multi_index_hashing(spark, LARGE).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    at = {int(i): n for n, i in enumerate(ids)}
+    assert got.keys() == want.keys()
+    for q, mine in got.items():
+        mine.sort()
         assert [x[0] for x in mine] == [1, 2, 3, 4, 5]
+        assert [(-s, j) for _, j, s in mine] == sorted((-s, j) for _, j, s in mine)
         for _, j, s in mine:
-            assert math.isclose(s, float(vector[q] @ vector[j] / np.linalg.norm(vector[q]) / np.linalg.norm(vector[j])), abs_tol=1e-12)
-        found += len({j for j, _ in want[q]} & {x[1] for x in mine})
-    assert found >= 0.9 * 5 * len(want)
+            assert math.isclose(s, float(u[at[q]] @ u[at[j]]), abs_tol=1e-12)
+    assert sum(len(set(want[q]) & {x[1] for x in got[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_probed_share_is_below_a_half_and_falls():
+    """Rows that the probes read, with the shipped parameters, on the hardest case: directions without any structure."""
+    shares = []
+    for n in (2000, 50000):
+        u = ann.unit(np.random.default_rng(2).standard_normal((n, 64)))
+        h = ann.learn(u[:20000], 5, ann.substring_bits(n))
+        codes, found, read = h.values(u), 0, 0.0
+        for i in range(200):
+            hit = h.probed(codes, codes[i])
+            near = np.argsort(-(u @ u[i]), kind="stable")[1:6]
+            found += hit[near].sum()
+            read += hit.mean()
+        shares.append(read / 200)
+        print(f"{n} rows: {read / 200:.3f} probed, recall {found / 1000:.3f}")
+        assert found >= 900
+    assert shares[0] < 0.45 and shares[1] < 0.25 and shares[1] < shares[0] / 1.5
 
 
-def test_within_gives_every_code_in_the_radius():
+@pytest.mark.parametrize("radius", [0, 1, 7, 8, 15, 20, 33])
+def test_probing_retrieves_every_code_in_the_radius(radius):
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 1 << 16, (500, 8)).astype(np.uint16)
-    codes[100:120] = codes[0] ^ np.uint16(1)
-    index = ann.Index(codes)
-    for radius in (0, 7, 8, 40, 55, 64):
-        apart = ann._ONES[codes ^ codes[0]].sum(axis=1)
-        assert index.within(codes[0], radius, 0).tolist() == np.flatnonzero(apart <= radius).tolist()
-    assert len(index.within(codes[0], 0, 30)) >= 30
+    h = ann.Hasher(np.zeros(4), np.zeros((4, 96)), 12, radius)
+    codes = rng.integers(0, 1 << 12, (1, 8))
+    near = np.repeat(codes, 400, axis=0)
+    for i in range(400):
+        for b in rng.choice(96, radius, replace=False):
+            near[i, b // 12] ^= 1 << (b % 12)
+    assert h.probed(near, codes[0]).all()
+
+
+def test_masks_are_the_cells_a_query_can_reach():
+    for most in range(6):
+        assert sorted(ann.masks(5, most)) == [i for i in range(32) if i.bit_count() <= most]
+
+
+def test_split_cells_and_a_large_group_of_copies(spark):
+    """A third of all rows are copies, and a third near copies, of one vector; cells are much smaller than those groups."""
+    rng = np.random.default_rng(5)
+    hot = rng.standard_normal(16)
+    x = np.concatenate([np.repeat(hot[None], 300, axis=0), hot + 1e-3 * rng.standard_normal((300, 16)), rng.standard_normal((300, 16))])
+    rows = [(int(i), [float(c) for c in x[p]]) for i, p in enumerate(rng.permutation(900))]
+    ids, u = vectors(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 10 == 0, cell_rows=16).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    want = brute(ids, u, ids % 10 == 0, 5)
+    assert got.keys() == want.keys() and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+    assert sum(len(set(want[q]) & {j for j, _ in got[q].values()}) for q in want) >= 0.9 * 5 * len(want)
+    same = {}
+    for i, v in rows:
+        same.setdefault(tuple(v), []).append(i)
+    copies = max(same.values(), key=len)
+    for q in (i for i in copies if i % 10 == 0):
+        assert [got[q][r][0] for r in range(1, 6)] == [i for i in sorted(copies) if i != q][:5]
 
 
 def test_ties_nulls_and_odd_vectors(spark):
@@ -52,7 +110,26 @@ def test_ties_nulls_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (1, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0, 1.0, 1.0]), (11, []), (None, [1.0, 0.0])]
     got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") == 0, k=5).collect()
     assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2), (2, 3), (3, 1)]
-    extra = spark.createDataFrame([(0, [1.0], "x", 1), (1, [2.0], "y", 2)], "vec_id long, embedding array<double>, shard string, rank int")
+    extra = spark.createDataFrame([(0, [1.0], "x", 1), (1, [2.0], "y", 2)], "vec_id long, embedding array<double>, part string, rank int")
     assert ann.nearest(extra, F.col("id") == 0).collect()[0]["vec_id"] == 1
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.col("id") == 0).count() == 0
     assert ann.nearest(spark.createDataFrame([(1, None)], SCHEMA), F.col("id") == 1).count() == 0
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [3e-300, 0.0]), (2, [1.0, 1.1]), (3, [-1.7e308, 1.7e308]), (4, [5e-324, 5e-324])]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") == 0).collect())
+    assert [j for _, j, _ in got] == [4, 2, 1, 3]
+    assert [s for _, _, s in got] == pytest.approx([1, 2.1 / math.sqrt(2 * 2.21), math.sqrt(0.5), 0], abs=1e-12)
+
+
+def test_every_query_gets_k_rows(spark):
+    """Opposite vectors are far beyond any learned radius, so their queries search again within a larger one."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in (np.ones(8) * (1 if i < 200 else -1) + 0.05 * rng.standard_normal(8))]) for i in range(201)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") == 200, k=4).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4]
+
+
+def test_smallest_table(spark):
+    assert ann.nearest(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("id") % 50 == 0).count() > 0
