@@ -96,14 +96,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed,
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 c AS (SELECT r, doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS sym,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-  len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS stutters FROM d),
-g AS (SELECT r, i, md5(array_to_string(w[i:i + 2], ' ')) AS k FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
-again AS (SELECT r, k FROM g GROUP BY r, k HAVING count(*) > 1),
-cover AS (SELECT r, count(DISTINCT i + o) AS rep FROM g JOIN again USING (r, k), (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
-m AS (SELECT c.*, coalesce(rep, 0) AS rep, len(lines) - len(list_distinct(lines)) AS dup, len(lines) AS n_lines FROM c LEFT JOIN cover USING (r))
+  len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS stutters,
+  len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS bare FROM d),
+g AS (SELECT r, i, s, md5(array_to_string(w[i:i + s - 1], ' ')) AS k FROM (SELECT r, w, s, unnest(generate_series(1, len(w) - s + 1)) AS i FROM d, (SELECT unnest([2, 3, 8]) AS s) WHERE len(w) >= s)),
+often AS (SELECT r, s, k, count(*) AS n FROM g GROUP BY r, s, k),
+top AS (SELECT r, max(n) AS pair FROM often WHERE s = 2 GROUP BY r),
+cover AS (SELECT r, s, count(DISTINCT i + o) AS rep FROM (SELECT r, s, i, unnest(generate_series(0, s - 1)) AS o FROM g JOIN often USING (r, s, k) WHERE n > 1 AND s > 2) GROUP BY r, s),
+m AS (SELECT c.*, coalesce(x.rep, 0) AS rep, coalesce(y.rep, 0) AS far, coalesce(pair, 0) AS pair, len(lines) - len(list_distinct(lines)) AS dup, len(lines) AS n_lines
+  FROM c LEFT JOIN cover x ON x.r = c.r AND x.s = 3 LEFT JOIN cover y ON y.r = c.r AND y.s = 8 LEFT JOIN top ON top.r = c.r)
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words,
   n < 50 OR 100 * rep > 50 * n AS base_failed,
-  NOT (n < 50 OR 100 * rep > 30 * n OR 100 * sym > 10 * n OR 100 * dup > 30 * n_lines OR 100 * stutters > 20 * n OR 100 * chars > 1500 * n) AS kept FROM m""",
+  NOT (n < 50 OR 100 * rep > 30 * n OR 100 * sym > 10 * n OR 100 * dup > 30 * n_lines OR 100 * stutters > 20 * n OR 100 * chars > 1500 * n
+    OR 100 * bare > 40 * n OR 100 * pair > 20 * n OR 100 * far > 30 * n) AS kept FROM m""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p)
