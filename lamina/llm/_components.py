@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise
+from ._spark import discard, materialise
 
 
 def connected_components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -18,11 +18,14 @@ def connected_components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     edges = materialise(both.filter("node <> next").distinct(), "edges")
     labels = materialise(edges.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("label")), "labels")
     for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("node").alias("next"), "label"), "next").groupBy("node").agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        now = labels.select("node", "label")
+        near = edges.join(now.select(F.col("node").alias("next"), "label"), "next").groupBy("node").agg(F.min("label").alias("near"))
+        new = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = now.select(F.col("node").alias("label"), F.col("label").alias("top"))
         new = materialise(new.join(up, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "old"), "labels")
+        discard(labels)
         if not new.filter("label <> old").head(1):
+            discard(edges)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new
     raise RuntimeError("the components did not settle")

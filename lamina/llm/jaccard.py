@@ -4,8 +4,10 @@ Texts offer their distinct shingles (see _exchange) and learn how many texts hol
 rare to common.  If two sets are similar enough, they share a shingle within the first n - ceil(t n) + 1 of both.  A
 set with no shingle there that another text has, links with nothing and drops out: passages that many texts share
 bring no candidates, as rarer shingles come first.  The sets left, one for each distinct set, are joined in groups
-that share such shingles.  A group that is too large for a task is split into blocks by size class and hash, and only
-blocks of compatible sizes meet.
+that share such shingles, possibly through others.  A group that is too large for a task is split into blocks by size
+class and hash, each joined within, and then the least set of each component so found meets those of other blocks; this
+joins large groups of near copies.  Sets of such a group that are still apart meet for each shingle in the prefixes of
+sets of different components, so chains of chance that hold unlike sets together cost no pairs of blocks.
 
 Within a group, the index lists are ordered by set size, and blocks of a list outside of a set's possible sizes are
 skipped by position.  The overlaps of a set with all others are derived from those of a highly similar set, computed
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._components import connected_components
-from ._exchange import OFFERS, Offer, answers, buckets_for, text_bytes, tiled, trimmed
+from ._exchange import OFFERS, Offer, answers, buckets_for, tiled, trimmed
 from ._spark import materialise
 from ._words import U64, Words, salted, shingles
 
@@ -96,9 +98,8 @@ def set_digest(doc: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def shingle_sets(df: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
     """(id, row_key, s1, s2, n, prefix, items) per row; prefix and items only where the set may link with another text's."""
-    total = text_bytes(df, text)
+    d, total = tiled(df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("row_key")), "tile")
     buckets = buckets_for(total)
-    d = tiled(df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("row_key")), "tile", total)
     schema = T.StructType([T.StructField("id", df.schema[id].dataType), T.StructField("row_key", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("items", T.BinaryType())])
 
     def keys_of(table: pa.Table):
@@ -147,51 +148,68 @@ def _links(tasks: DataFrame, percent: int) -> DataFrame:
 
     @trimmed
     def link(table: pa.Table) -> pa.Table:
-        cid = table.column("cid").to_numpy()
-        order = np.argsort(cid)
-        items = table.column("items").to_pylist()
-        root = link_sets([np.frombuffer(items[i], np.uint64) for i in order], percent)
-        cid = cid[order]
+        cid, first = np.unique(table.column("cid").to_numpy(), return_index=True)  # a set may come by several shingles
+        items = table.column("items")
+        root = link_sets([np.frombuffer(items[int(i)].as_py(), np.uint64) for i in first], percent)
         some = root != np.arange(len(root))
         return pa.table({"a": pa.array(cid[root[some]]), "b": pa.array(cid[some])})
 
     return materialise(tasks.select("cid", "items", "task").groupBy("task").applyInArrow(link, "a long, b long"), "links")
 
 
-def linked_sets(sets: DataFrame, percent: int, most_items: int = 1 << 20) -> DataFrame:
-    """sets (cid, n, prefix, items; one row per distinct set) -> (node, label) for those with links to other sets.
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """sets with the label of their component so far."""
+    return sets.join(connected_components(links), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
+
+
+def _within_groups(s: DataFrame, percent: int, most_items: int, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """s (cid, g, n, items, i) -> links, those given included, and the sets of too large groups with their blocks, if any.
 
-    Sets that share prefix shingles, possibly through others, form groups.  Groups of up to most_items shingles share
-    tasks.  A larger group is cut into blocks by size class and hash.  Its blocks are joined within; then one set of
-    each component so found meets those of other blocks; then only pairs of blocks of compatible sizes that aren't
-    both wholly in the group's main component are joined.  So a large group of near copies costs no pairs of blocks.
+    Groups of up to most_items shingles share tasks and are joined in full.  Blocks of larger ones are joined within,
+    and then one set of each component of the group with others, in random rooms.
     """
-    entries = sets.select("cid", F.explode("prefix").alias("key"))
-    lead = entries.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
-    near = connected_components(entries.join(lead, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct())
-    step = -float(np.log(percent / 100)) * 1.000001  # so that rounding never puts two compatible sizes two classes apart
-    s = sets.join(near, F.col("cid") == F.col("node")).select("cid", F.col("label").alias("g"), "n", "items", (F.floor(F.log("n") / F.lit(step)) if step else F.col("n")).cast("int").alias("i"))
     parts = materialise(s.groupBy("g", "i").agg(F.sum("n").alias("items_n")), "parts")
     whole = parts.groupBy("g").agg(F.sum("items_n").alias("group_n"))
     bins = max(1, -(-(whole.filter(F.col("group_n") <= most_items).agg(F.sum("group_n")).first()[0] or 0) // most_items))
     large = whole.filter(F.col("group_n") > most_items).select("g")
-    little = s.join(large, "g", "left_anti").withColumn("task", F.pmod(F.xxhash64("g"), F.lit(bins)).cast("string"))
-    links = _links(little, percent)
+    little = _links(s.join(large, "g", "left_anti").withColumn("task", F.pmod(F.xxhash64("g"), F.lit(bins)).cast("string")), percent)
+    links = little if links is None else links.union(little)
     if not large.head(1):
-        return connected_components(links)
-
+        return links, None
     split = parts.join(large, "g").select("g", "i", F.ceil(F.col("items_n") / most_items).cast("int").alias("p"))
     big = materialise(s.join(split, ["g", "i"]).withColumn("block", F.concat_ws("/", "g", "i", F.pmod(F.xxhash64("cid"), F.col("p")).cast("string"))), "blocks")
     links = links.union(_links(big.withColumn("task", F.col("block")), percent))
-
-    def labelled() -> DataFrame:
-        return big.join(connected_components(links), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
-
-    leaders = labelled().filter("cid = label")
+    leaders = _labelled(big, links).filter("cid = label")
     rooms = leaders.groupBy("g").agg(F.ceil(F.sum("n") / most_items).alias("rooms"))
     links = links.union(_links(leaders.join(rooms, "g").withColumn("task", F.concat_ws("/", "g", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("rooms")).cast("string"))), percent))
+    return links, big
+
+
+def linked_sets(sets: DataFrame, percent: int, most_items: int = 1 << 20) -> DataFrame:
+    """sets (cid, n, prefix, items; one row per distinct set) -> (node, label) for those with links to other sets.
+
+    Sets that share prefix shingles, possibly through others, form groups, joined by _within_groups.  What a too large
+    group leaves apart is joined by _within_groups again, now for each prefix shingle that sets of different components
+    have.  Only where the sets with one such shingle are themselves too many, pairs of their blocks meet: those of
+    compatible sizes that aren't both wholly in the main component of these sets.
+    """
+    entries = sets.select("cid", F.explode("prefix").alias("key"))
+    lead = entries.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
+    near = connected_components(entries.join(lead, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+    step = -float(np.log(percent / 100)) * 1.000001  # so that rounding never puts two compatible sizes two classes apart
+    s = sets.join(near, F.col("cid") == F.col("node")).select("cid", F.col("label").alias("g"), "n", "items", (F.floor(F.log("n") / F.lit(step)) if step else F.col("n")).cast("int").alias("i"))
+    links, big = _within_groups(s, percent, most_items, None)
+    if big is None:
+        return connected_components(links)
+
+    apart = materialise(_labelled(entries.join(big.select("cid"), "cid", "left_semi"), links), "apart")
+    keys = apart.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("key")
+    shared = apart.join(keys, "key").select("cid", F.col("key").alias("g"))
+    links, big = _within_groups(shared.join(big.drop("g", "block", "p"), "cid"), percent, most_items, links)
+    if big is None:
+        return connected_components(links)
 
-    blocks = materialise(labelled().groupBy("g", "i", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "summary")
+    blocks = materialise(_labelled(big, links).groupBy("g", "i", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "summary")
     main = blocks.filter("low = high").groupBy("g", "low").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("low", F.struct("c", "low")).alias("main"))
     rest = blocks.join(main, "g", "left").filter("main is null or low <> main or high <> main").select("g", F.col("i").alias("j"), F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = blocks.join(rest, "g").filter("abs(i - j) <= 1 and block <> other and not (low = high and low = low2 and low2 = high2)")
@@ -207,7 +225,8 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", si
     Two rows link if 100 * common >= percent * union of their sets of lower-cased `size`-word shingles.  component_id
     is the least id reached by links; keep marks the rows with the least (id, row_key) of a component (equal rows
     all, so that a caller may drop repeats).  A text with fewer words than a shingle is one shingle; a null, empty or
-    blank text links with nothing and has its own id.  Null ids never are a component's id unless all are null.  All
+    blank text links with nothing and has its own id.  A text longer than a tile is a tile of its own, so it has to
+    fit a worker (some 20 times its bytes).  Null ids never are a component's id unless all are null.  All
     links between different sets are found; equal sets are linked through their class.  An empty table stays empty.
     """
     rows = materialise(shingle_sets(df, id, text, size, percent), "sets")

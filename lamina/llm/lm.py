@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._exchange import ANSWERS, OFFERS, Offer, buckets_for, gathered, text_bytes, tiled, trimmed
+from ._exchange import ANSWERS, OFFERS, Offer, answered, buckets_for, gathered, tiled, trimmed
 from ._spark import materialise
 from ._words import ROLL_A, U64, Words, batches, mix, salted
 
@@ -127,14 +127,14 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
     """Per row of df: id, trained, n_tokens, n_known, train_tokens, base_score, score (log10 of the whole text).
 
     train: which rows the counts come from (null: not).  A null text counts as empty: its end mark alone.  Repeated
-    rows count, and are scored, each on its own.  With no training row, N and V are 0 and every token has base
+    rows count, and are scored, each on its own.  Counts are exact up to 2 ** 53.  A text longer than a tile is a tile of
+    its own, so it has to fit a worker (some 20 times its bytes).  Other columns are dropped, whatever their names.  With no training row, N and V are 0 and every token has base
     probability 1.  An empty table stays empty.
     """
     spark = df.sparkSession
-    total = text_bytes(df, text)
-    buckets = buckets_for(total)
     docs = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"), train).alias("row_key"))
-    d = tiled(docs, "tile", total, 4 << 20)
+    d, total = tiled(docs, "tile", 4 << 20)
+    buckets = buckets_for(total)
 
     @trimmed
     def offers(table: pa.Table) -> pa.Table:
@@ -149,9 +149,7 @@ def score_texts(df: DataFrame, train: Column, id: str = "doc_id", text: str = "t
     def answer(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == PAIR:
             return pa.table({"tile": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
-        _, totals, inverse, at = gathered(table, False, np.uint32)
-        flat = np.minimum(totals, 2**32 - 1).astype(np.uint32)[inverse]
-        return pa.table({"tile": table.column("tile"), "bucket": table.column("bucket"), "answer": pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
+        return answered(table, False, np.uint32, wide=True)
 
     @trimmed
     def segment(table: pa.Table) -> pa.Table:

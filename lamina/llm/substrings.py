@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._exchange import OFFERS, Offer, answers, buckets_for, text_bytes, tiled, trimmed
+from ._exchange import BUCKET_BYTES, OFFERS, TILE_BYTES, Offer, answers, buckets_for, tiled, trimmed
 from ._spark import fresh
 from ._words import ROLL_A, ROLL_B, Words, rolling
 
@@ -63,19 +63,18 @@ class Tile:
         return np.cumsum(step[:-1]) > 0
 
 
-def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, keep_untouched: bool = False, bucket_bytes: int = 16 << 20) -> DataFrame:
+def dedup_substrings(df: DataFrame, text: str = "text", window: int = 35, keep_untouched: bool = False, bucket_bytes: int = BUCKET_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """df with `text` replaced by its kept words, joined by one space, and n_words, n_removed added.
 
     A word goes if a window over it has a word sequence that also starts anywhere else, in the same row or another;
     all are judged on the input.  A null text has no words and becomes empty, as does one whose words all go.  Equal
     rows are places of their own, so all but short ones lose all words.  Rows are never lost; an empty table stays
-    empty.  Added names get underscores in front where they clash.  keep_untouched: a text that loses nothing stays as it
+    empty.  A text longer than a tile is a tile of its own, so it has to fit a worker (some 20 times its bytes).  Added names get underscores in front where they clash.  keep_untouched: a text that loses nothing stays as it
     is, with its own spaces and lines.
     """
-    total = text_bytes(df, text)
     tile, n_words, n_removed, side, kind = fresh(df, "tile", "n_words", "n_removed", "answer", "kind")
+    d, total = tiled(df, tile, tile_bytes)
     buckets = buckets_for(total, bucket_bytes)
-    d = tiled(df, tile, total)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in df.schema.fields] + [T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
 
     columns_in, columns_out = df.columns, [f.name for f in schema.fields]

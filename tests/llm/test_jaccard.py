@@ -114,4 +114,31 @@ def test_large_group_of_near_copies_needs_no_pairs_of_blocks(spark, monkeypatch)
     monkeypatch.setattr(jaccard, "linked_sets", lambda s, p: split(s, p, most_items=2000))
     got = jaccard.jaccard_components(spark.createDataFrame(docs, DOCS), size=2, percent=70).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(docs, 2, 70))
-    assert calls[1] > 2 and calls[3] == 0  # several blocks, no pair of them
+    assert calls[1] > 2 and calls[3:] == [0]  # several blocks; nothing is left to meet by shingles
+
+
+@pytest.mark.parametrize("n", [60, 240])
+def test_a_chain_of_chance_costs_no_pairs_of_blocks(spark, monkeypatch, n):
+    """Each text shares a passage with the next one and is like none but for a few pairs: one group, tasks in proportion to its blocks."""
+    texts = [" ".join([f"s{i}x{k}" for k in range(14)] + [f"own{i}x{k}" for k in range(10)] + [f"s{i + 1}x{k}" for k in range(14)]) for i in range(n)]
+    texts += [t.replace("own7x", "own7y", 1) for t in texts[::20]]
+    docs = list(enumerate(texts))
+    calls = []
+    real, split = jaccard._links, jaccard.linked_sets
+    monkeypatch.setattr(jaccard, "_links", lambda t, p: calls.append(t.select("task").distinct().count()) or real(t, p))
+    monkeypatch.setattr(jaccard, "linked_sets", lambda s, p: split(s, p, most_items=400))
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, DOCS), size=2, percent=50).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(docs, 2, 50))
+    blocks = -(-37 * n // 400)
+    assert calls[1] >= blocks / 2 and sum(calls) <= 12 * blocks + 10
+
+
+@pytest.mark.parametrize("percent", [60, 90])
+def test_one_shingle_in_too_many_sets(spark, monkeypatch, percent):
+    """All sets share one passage, and only pairs of them are alike; a block holds two sets."""
+    r = random.Random(percent)
+    docs = list(enumerate(f"same passage here in all {f} and then {' '.join(f'q{r.randrange(30)}' for _ in range(3))}" for f in family(r, 24, 8, 2) + family(r, 24, 8, 2)))
+    split = jaccard.linked_sets
+    monkeypatch.setattr(jaccard, "linked_sets", lambda s, p: split(s, p, most_items=30))
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, DOCS), size=1, percent=percent).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(docs, 1, percent))
