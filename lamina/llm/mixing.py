@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words.
 
-The words of a source, in a seeded order of its documents, are dealt to shards.  Blocks are apportioned to sources
-by their targets, and the blocks of a source to its shards by their words, each time by highest quotients
-v / (2 q + 1).  A shard takes its quota as whole rounds of its words and one seeded run of blocks.  Only one row for
-each source and shard (their number is a parameter) comes to the driver.
+The words of a source, in a seeded order of its documents, are dealt to shards, whose number follows from its words.
+Blocks are apportioned to sources by their targets, and the blocks of a source to its shards by their words, each time
+by highest quotients v / (2 q + 1); what a source's target has beyond its blocks is a part of one more.  A shard takes
+its quota as whole rounds of its words and one run of blocks, in the seeded order of documents, from a seeded start.
+
+Only keys and sizes are shuffled.  A run of blocks is an interval of the hash that orders documents, and a part of the
+documents at its two ends, so one row for each shard tells every document what is taken of it.
 """
 
 from __future__ import annotations
@@ -14,20 +17,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import fresh
+from ._spark import fresh, materialise
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = 3) -> list[float]:
     """Shares of the total by weight; none is above cap times its size, and what is above goes to the others by weight."""
-    total, out, free = sum(sizes), [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    while free:
-        rest = total - sum(out[i] for i in range(len(out)) if i not in set(free))
-        base = sum(weights[i] for i in free)
-        share = {i: rest * weights[i] / base for i in free}
-        over = [i for i in free if share[i] > cap * sizes[i]]
-        for i in over or free:
-            out[i] = float(cap * sizes[i]) if over else share[i]
-        free = [i for i in free if i not in set(over)] if over else []
+    rest, base, out = float(sum(sizes)), float(sum(w for s, w in zip(sizes, weights) if s > 0)), [0.0] * len(sizes)
+    for i in sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: sizes[i] / weights[i]):  # those that the cap binds come first
+        out[i] = min(rest * weights[i] / base, float(cap * sizes[i]))
+        rest, base = rest - out[i], base - weights[i]
     return out
 
 
@@ -59,50 +57,78 @@ def apportion(votes: Sequence[float], seats: int, most: Sequence[int]) -> list[i
     return out
 
 
+def shards_for(words: int, total: int, shard_words: int = 1 << 20, most: int = 1 << 16) -> int:
+    """Shards of a source with so many words of the total: of shard_words words each, or more, so that all sources together have `most` and one each."""
+    return max(1, -(-words // max(shard_words, -(-total // most))))
+
+
 def plan(totals: dict, weights: Sequence[float], cap: int, block: int) -> tuple[dict, dict]:
     """totals: words by (source, shard). Gives (source's size, target) by source, and words to take by (source, shard)."""
-    names = sorted({s for s, _ in totals}, key=lambda s: (s is None, "" if s is None else s))
-    size = {s: 0 for s in names}
-    for (s, _), n in totals.items():
-        size[s] += n
-    sizes = [size[s] for s in names]
+    shards: dict = {}
+    for (s, h), n in totals.items():
+        shards.setdefault(s, []).append((h, n))
+    names = sorted(shards, key=lambda s: (s is None, "" if s is None else s))
+    sizes = [sum(n for _, n in shards[s]) for s in names]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], cap)
-    quota = apportion(goal, round(sum(goal) / block), [cap * n // block for n in sizes])
+    words = [min(round(t), cap * n) for t, n in zip(goal, sizes)]
+    quota = apportion(goal, sum(words) // block, [w // block for w in words])
     take = {}
-    for s, q in zip(names, quota):
-        shards = sorted(h for x, h in totals if x == s)
-        n = [totals[s, h] for h in shards]
-        most = [cap * x // block for x in n]
-        for h, got in zip(shards, apportion(n, min(q, sum(most)), most)):
-            take[s, h] = got * block
+    for s, blocks, rest in zip(names, quota, words):
+        mine = sorted(shards[s])
+        most = [cap * n // block for _, n in mine]
+        got = [block * q for q in apportion([n for _, n in mine], min(blocks, sum(most)), most)]
+        rest -= sum(got)
+        for i, (h, n) in enumerate(mine):  # less than a block, but for what the caps leave over
+            more = min(rest, cap * n - got[i])
+            take[s, h] = got[i] + more
+            rest -= more
     return {s: (n, t) for s, n, t in zip(names, sizes, goal)}, take
 
 
-def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequence[float] = (1, 2, 3), cap: int = 3, block: int = 16, shards: int = 64, seed: int = 17) -> DataFrame:
+def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequence[float] = (1, 2, 3), cap: int = 3, block: int = 16, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
     """df with source_size, target, taken, copies, cut_start, cut_length (names get underscores in front where they clash).
 
     A row is taken `copies` times whole, and once more its words cut_start .. cut_start + cut_length; taken counts
-    both.  size: the row's words (null: 0).  key: a hash of the row, which orders and shards it; equal rows share a
-    key and may fill each other's places.  A null source is a source, after all others.  Weights repeat along the
-    sources by code point.  No row is taken more than cap times; a source misses its target by a block at most,
-    and by one for each shard where a cap binds.  A row without words is kept, with nothing taken.  No row is lost.
+    both.  size: the row's words (null: 0); a row of any size may be cut anywhere.  key: a hash of the row, which orders
+    and shards it.  Rows with equal key and size get equal parts, to a word.  A null source is a source, after all
+    others.  Weights repeat along the sources by code point.  No row is taken more than cap times.  A source's taken words
+    are its target, rounded, but for half a word for each of equal rows at an end of a run.  A row without words is kept,
+    with nothing taken.  No row is lost; an empty table stays empty.  The number of sources must fit the driver.
     """
     spark = df.sparkSession
-    shard, order, upto, total, want, source_size, target, taken, copies, cut_start, cut_length, name, part = fresh(df, "shard", "order", "upto", "total", "want", "source_size", "target", "taken", "copies", "cut_start", "cut_length", "name", "part")
-    words = F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long")
-    d = df.withColumns({shard: F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(shards)).cast("int"), order: F.xxhash64(F.col(f"`{key}`"), F.lit(seed))})
-    got = d.groupBy(F.col(f"`{source}`").alias(name), shard).agg(F.sum(words).alias(total)).collect()
-    by_source, take = plan({(r[0], r[1]): r[2] for r in got}, weights, cap, block)
-    rows = [(s, h, r[2], take[s, h], by_source[s][0], by_source[s][1]) for r in got for s, h in [(r[0], r[1])]]
-    quotas = spark.createDataFrame(rows, f"`{name}` string, `{part}` int, `{total}` long, `{want}` long, `{source_size}` long, `{target}` double")
-    d = d.join(quotas, F.col(f"`{source}`").eqNullSafe(F.col(name)) & (F.col(shard) == F.col(part)))
-    w = Window.partitionBy(f"`{source}`", shard).orderBy(order, f"`{key}`", words).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn(upto, F.sum(words).over(w))
-    whole = F.when(F.col(total) > 0, F.expr(f"`{want}` div greatest(`{total}`, 1)")).otherwise(F.lit(0)).cast("long")
-    rest = F.col(want) - whole * F.col(total)
-    begin = F.pmod(F.xxhash64(F.lit(seed), F.col(shard), F.col(f"`{source}`")), F.floor((F.col(total) - rest) / block) + 1) * block
-    low = F.greatest(F.col(upto) - words, begin)
-    high = F.least(F.col(upto), begin + rest)
-    d = d.withColumns({copies: whole, cut_length: F.greatest(high - low, F.lit(0)).cast("long"), cut_start: F.when(high > low, low - (F.col(upto) - words)).otherwise(F.lit(0)).cast("long")})
-    d = d.withColumn(taken, (F.col(copies) * words + F.col(cut_length)).cast("long"))
-    return d.select(*[F.col(f"`{c}`") for c in df.columns], source_size, target, taken, copies, cut_start, cut_length)
+    added = fresh(df, "source_size", "target", "taken", "copies", "cut_start", "cut_length")
+    source_size, target, taken, copies, cut_start, cut_length = added
+    own = ("mix_source", "mix_shard", "mix_order", "mix_words", "mix_shards")
+    name, shard, order, words, shards = fresh(df, *own)
+    size_of, null_of = F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long"), F.col(f"`{source}`")
+
+    sums = df.groupBy(null_of.alias(name)).agg(F.sum(size_of)).collect()  # a row for each source
+    total = sum(n for _, n in sums)
+    counts = spark.createDataFrame([(s, shards_for(n, total, shard_words)) for s, n in sums], f"`{name}` string, `{shards}` int")
+    dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.col(shards)).cast("int")
+    placed = df.join(counts, null_of.eqNullSafe(F.col(name))).withColumns({shard: dealt, order: F.xxhash64(F.col(f"`{key}`"), size_of, F.lit(seed)), words: size_of})
+
+    units = materialise(placed.filter(F.col(words) > 0).groupBy(F.col(name).alias("s"), F.col(shard).alias("h"), F.col(order).alias("o")).agg(F.sum(words).alias("n")), "units")
+    got = units.groupBy("s", "h").agg(F.sum("n")).collect()  # at most 65536 rows and one for each source
+    by_source, take = plan({**{(s, 0): 0 for s, n in sums if not n}, **{(r[0], r[1]): r[2] for r in got}}, weights, cap, block)
+    rows = [(s, h, n, take[s, h] // n, take[s, h] % n) for s, h, n in got]
+    quotas = spark.createDataFrame(rows, "s string, h int, total long, whole long, rest long")
+    begin = F.pmod(F.xxhash64(F.lit(seed), "h", "s"), F.floor((F.col("total") - F.col("rest")) / block) + 1) * block
+    upto = F.sum("n").over(Window.partitionBy("s", "h").orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    u = units.withColumn("upto", upto).alias("u").join(quotas.withColumn("begin", begin).alias("q"), F.col("u.s").eqNullSafe(F.col("q.s")) & (F.col("u.h") == F.col("q.h")))
+    u = u.select("u.s", "u.h", "o", "n", "whole", (F.col("upto") - F.col("n")).alias("low"), "upto", "begin", (F.col("begin") + F.col("rest")).alias("end"))
+    part = F.struct("o", ((F.greatest("low", "begin") - F.col("low")) / F.col("n")).alias("skip"), ((F.least("upto", "end") - F.greatest("low", "begin")) / F.col("n")).alias("part"))
+    runs = u.groupBy("s", "h").agg(F.max("whole").alias("whole"), F.min(F.when((F.col("upto") > F.col("begin")) & (F.col("low") < F.col("end")), part)).alias("first"), F.max(F.when((F.col("upto") > F.col("begin")) & (F.col("low") < F.col("end")), part)).alias("last"))
+    runs = materialise(runs, "runs").alias("r")  # as many rows; so small a table is broadcast, and texts stay where they are
+
+    d = placed.alias("d").join(runs, F.col(f"d.{name}").eqNullSafe(F.col("r.s")) & (F.col(f"d.{shard}") == F.col("r.h")), "left")
+    here, some = F.col(f"d.{order}"), F.col(f"d.{words}")
+    inside = (here >= F.col("r.first.o")) & (here <= F.col("r.last.o")) & (some > 0)
+    at = F.when(here == F.col("r.first.o"), F.col("r.first")).when(here == F.col("r.last.o"), F.col("r.last"))
+    skip = F.when(inside, F.coalesce(F.round(at["skip"] * some), F.lit(0)).cast("long")).otherwise(F.lit(0))
+    length = F.when(inside, F.coalesce(F.round(at["part"] * some), some).cast("long")).otherwise(F.lit(0))
+    sizes = spark.createDataFrame([(s, n, t) for s, (n, t) in by_source.items()], "s string, n long, t double").alias("z")
+    d = d.join(sizes, F.col(f"d.{name}").eqNullSafe(F.col("z.s")))
+    rounds = F.when(some > 0, F.coalesce(F.col("r.whole"), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    d = d.select(*[F.col(f"d.`{c}`") for c in df.columns], F.col("z.n").alias(source_size), F.col("z.t").alias(target), (rounds * some + F.least(length, some - skip)).alias(taken), rounds.alias(copies), skip.alias(cut_start), F.least(length, some - skip).alias(cut_length))
+    return d

@@ -14,6 +14,7 @@ exchange, and a task that runs again gives the same rows, given the same partiti
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -29,16 +30,21 @@ LONG_RUN = 4096
 
 
 class Encoder:
-    """Token ids of texts, without special tokens; special strings in a text are ordinary text.
+    """Token ids of texts as the tokenizer gives them, without tokens of its own before or after.
 
-    Where the file is a byte-level BPE whose ids follow its merges, a faster library encodes with the same table.
+    A special string in a text becomes its special id, as the file says; with special_as_text it is ordinary text.
+    Where the file is a byte-level BPE whose ids follow its merges, a faster library encodes with the same table the
+    texts that hold no added token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens", []) if not (special_as_text and t["special"])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = self._fast(path)
 
     @staticmethod
@@ -63,7 +69,7 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and (len(text) < LONG_RUN or _longest_run(text) < LONG_RUN):
+        if self.fast is not None and (len(text) < LONG_RUN or _longest_run(text) < LONG_RUN) and not (self.added and self.added.search(text)):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -75,8 +81,8 @@ def _longest_run(text: str) -> int:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    return Encoder(path, special_as_text)
 
 
 def fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -182,7 +188,7 @@ class _Counts:
         return len(self.pool[size])
 
 
-def pack(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, pool: int = 4096, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, pool: int = 4096, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document is its text's ids, then end_id; a null or empty text is end_id alone.  Each id lies in one piece; the
@@ -206,7 +212,7 @@ def pack(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text",
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(kind)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         packer = Packer(window, TaskContext.get().partitionId() << 33)
         last = np.array([end_id], np.uint32)
         for batch in stream:

@@ -14,9 +14,7 @@ from .common import DOCS, corpus
 
 
 def slow():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def check(rows, docs, window):
@@ -87,6 +85,13 @@ def test_fast_encoder_is_the_tokenizer(text):
     assert e.fast.encode_ordinary(text) == slow_ids(text)
 
 
+def test_special_strings():
+    text = "hello <|endoftext|> x"
+    assert packing.encoder(tokenizer_path()).ids(text).tolist() == slow_ids(text) and 50256 in slow_ids(text)
+    plain = packing.encoder(tokenizer_path(), True).ids(text).tolist()
+    assert 50256 not in plain and slow().decode(plain) == text
+
+
 _SLOW = []
 
 
