@@ -85,7 +85,7 @@ def plan(totals: dict, weights: Sequence[float], cap: int, block: int) -> tuple[
     return {s: (n, t) for s, n, t in zip(names, sizes, goal)}, take
 
 
-def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequence[float] = (1, 2, 3), cap: int = 3, block: int = 16, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
+def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequence[float] = (1, 2, 3), cap: int = 3, block: int = 16, shard_words: int = 1 << 20, seed: int = 17, keys: DataFrame | None = None) -> DataFrame:
     """df with source_size, target, taken, copies, cut_start, cut_length (names get underscores in front where they clash).
 
     A row is taken `copies` times whole, and once more its words cut_start .. cut_start + cut_length; taken counts
@@ -94,21 +94,25 @@ def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequen
     others.  Weights repeat along the sources by code point.  No row is taken more than cap times.  A source's taken words
     are its target, rounded, but for half a word for each of equal rows at an end of a run.  A row without words is kept,
     with nothing taken.  No row is lost; an empty table stays empty.  The number of sources must fit the driver.
+    keys: the columns source, size and key of df, if these are at hand in a table of their own.
     """
     spark = df.sparkSession
     added = fresh(df, "source_size", "target", "taken", "copies", "cut_start", "cut_length")
     source_size, target, taken, copies, cut_start, cut_length = added
     own = ("mix_source", "mix_shard", "mix_order", "mix_words", "mix_shards")
     name, shard, order, words, shards = fresh(df, *own)
-    size_of, null_of = F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long"), F.col(f"`{source}`")
+    size_of, from_source = F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long"), F.col(f"`{source}`")
+    keys = df.select(f"`{source}`", f"`{size}`", f"`{key}`") if keys is None else keys
 
-    sums = df.groupBy(null_of.alias(name)).agg(F.sum(size_of)).collect()  # a row for each source
+    sums = keys.groupBy(from_source.alias(name)).agg(F.sum(size_of)).collect()  # a row for each source
     total = sum(n for _, n in sums)
     counts = spark.createDataFrame([(s, shards_for(n, total, shard_words)) for s, n in sums], f"`{name}` string, `{shards}` int")
     dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.col(shards)).cast("int")
-    placed = df.join(counts, null_of.eqNullSafe(F.col(name))).withColumns({shard: dealt, order: F.xxhash64(F.col(f"`{key}`"), size_of, F.lit(seed)), words: size_of})
 
-    units = materialise(placed.filter(F.col(words) > 0).groupBy(F.col(name).alias("s"), F.col(shard).alias("h"), F.col(order).alias("o")).agg(F.sum(words).alias("n")), "units")
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(counts, from_source.eqNullSafe(F.col(name))).withColumns({shard: dealt, order: F.xxhash64(F.col(f"`{key}`"), size_of, F.lit(seed)), words: size_of})
+
+    units = materialise(placed(keys).filter(F.col(words) > 0).groupBy(F.col(name).alias("s"), F.col(shard).alias("h"), F.col(order).alias("o")).agg(F.sum(words).alias("n")), "units")
     got = units.groupBy("s", "h").agg(F.sum("n")).collect()  # at most 65536 rows and one for each source
     by_source, take = plan({**{(s, 0): 0 for s, n in sums if not n}, **{(r[0], r[1]): r[2] for r in got}}, weights, cap, block)
     rows = [(s, h, n, take[s, h] // n, take[s, h] % n) for s, h, n in got]
@@ -121,7 +125,7 @@ def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequen
     runs = u.groupBy("s", "h").agg(F.max("whole").alias("whole"), F.min(F.when((F.col("upto") > F.col("begin")) & (F.col("low") < F.col("end")), part)).alias("first"), F.max(F.when((F.col("upto") > F.col("begin")) & (F.col("low") < F.col("end")), part)).alias("last"))
     runs = materialise(runs, "runs").alias("r")  # as many rows; so small a table is broadcast, and texts stay where they are
 
-    d = placed.alias("d").join(runs, F.col(f"d.{name}").eqNullSafe(F.col("r.s")) & (F.col(f"d.{shard}") == F.col("r.h")), "left")
+    d = placed(df).alias("d").join(runs, F.col(f"d.{name}").eqNullSafe(F.col("r.s")) & (F.col(f"d.{shard}") == F.col("r.h")), "left")
     here, some = F.col(f"d.{order}"), F.col(f"d.{words}")
     inside = (here >= F.col("r.first.o")) & (here <= F.col("r.last.o")) & (some > 0)
     at = F.when(here == F.col("r.first.o"), F.col("r.first")).when(here == F.col("r.last.o"), F.col("r.last"))
@@ -130,5 +134,4 @@ def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequen
     sizes = spark.createDataFrame([(s, n, t) for s, (n, t) in by_source.items()], "s string, n long, t double").alias("z")
     d = d.join(sizes, F.col(f"d.{name}").eqNullSafe(F.col("z.s")))
     rounds = F.when(some > 0, F.coalesce(F.col("r.whole"), F.lit(0))).otherwise(F.lit(0)).cast("long")
-    d = d.select(*[F.col(f"d.`{c}`") for c in df.columns], F.col("z.n").alias(source_size), F.col("z.t").alias(target), (rounds * some + F.least(length, some - skip)).alias(taken), rounds.alias(copies), skip.alias(cut_start), F.least(length, some - skip).alias(cut_length))
-    return d
+    return d.select(*[F.col(f"d.`{c}`") for c in df.columns], F.col("z.n").alias(source_size), F.col("z.t").alias(target), (rounds * some + F.least(length, some - skip)).alias(taken), rounds.alias(copies), skip.alias(cut_start), F.least(length, some - skip).alias(cut_length))

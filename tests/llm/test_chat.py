@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from lamina.llm import chat
 from lamina.llm.queries import QUERIES
 
@@ -42,3 +44,19 @@ def test_other_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, 0, "user", "x", 5)], SCHEMA + ", formatted int")
     assert chat.format_chats(df).columns == ["conv_id", "n_turns", "n_blocks", "formatted", "loss"]
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_a_long_conversation_and_running_totals(spark):
+    """8,000 turns in one conversation, most of them of the role before: places of the loss mask are those of a plain loop."""
+    rows = [(7, i, ("user", "assistant", "assistant", "tool")[i * i % 7 % 4], "<" * (i % 5) + "é" * (i % 3) + str(i)) for i in range(8000)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    read = chat.read_chats(out).collect()[0]
+    assert [(t["role"], t["text"]) for t in read["turns"]] == [(r, x) for _, _, r, x in rows]
+    assert read["loss_text"] == "".join(x for _, _, r, x in rows if r == "assistant")
+    f = out.collect()[0]
+    assert [f["formatted"][s["start"] : s["start"] + s["length"]].replace("<~", "<") for s in f["loss"]] == [x for _, _, r, x in rows if r == "assistant"]
+    for n in (0, 1, 2, 3, 4, 5, 10, 17):
+        got = spark.range(1).select(chat.running_totals(F.array(*[F.lit(k * k) for k in range(n)]).cast("array<bigint>")).alias("t")).first()["t"]
+        assert got == [sum(k * k for k in range(i + 1)) for i in range(n)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Window" not in plan and "Python" not in plan
