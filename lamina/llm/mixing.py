@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from ._spark import fresh, materialise
 
+#: Sources, of a few numbers each, that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
 
 def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = 3) -> list[float]:
     """Shares of the total by weight; none is above cap times its size, and what is above goes to the others by weight."""
@@ -106,7 +109,8 @@ def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequen
 
     sums = keys.groupBy(from_source.alias(name)).agg(F.sum(size_of)).collect()  # a row for each source
     total = sum(n for _, n in sums)
-    counts = spark.createDataFrame([(s, shards_for(n, total, shard_words)) for s, n in sums], f"`{name}` string, `{shards}` int")
+    small = F.broadcast if len(sums) <= MOST_BROADCAST else lambda d: d
+    counts = small(spark.createDataFrame([(s, shards_for(n, total, shard_words)) for s, n in sums], f"`{name}` string, `{shards}` int"))
     dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.col(shards)).cast("int")
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: Sequen
     at = F.when(here == F.col("r.first.o"), F.col("r.first")).when(here == F.col("r.last.o"), F.col("r.last"))
     skip = F.when(inside, F.coalesce(F.round(at["skip"] * some), F.lit(0)).cast("long")).otherwise(F.lit(0))
     length = F.when(inside, F.coalesce(F.round(at["part"] * some), some).cast("long")).otherwise(F.lit(0))
-    sizes = spark.createDataFrame([(s, n, t) for s, (n, t) in by_source.items()], "s string, n long, t double").alias("z")
+    sizes = small(spark.createDataFrame([(s, n, t) for s, (n, t) in by_source.items()], "s string, n long, t double")).alias("z")
     d = d.join(sizes, F.col(f"d.{name}").eqNullSafe(F.col("z.s")))
     rounds = F.when(some > 0, F.coalesce(F.col("r.whole"), F.lit(0))).otherwise(F.lit(0)).cast("long")
     return d.select(*[F.col(f"d.`{c}`") for c in df.columns], F.col("z.n").alias(source_size), F.col("z.t").alias(target), (rounds * some + F.least(length, some - skip)).alias(taken), rounds.alias(copies), skip.alias(cut_start), F.least(length, some - skip).alias(cut_length))
