@@ -22,10 +22,24 @@ def parsed(job: Column) -> Column:
     return F.try_parse_json(job)
 
 
-def number(job: Column, places: Sequence[str], *keys: str) -> Column:
-    """The first finite number, or string spelling one, under the first of keys in the first of places; null if none."""
-    found = F.array(*[F.trim(F.try_variant_get(job, f"$.{p}.{key}", "string")).try_cast("double") for key in keys for p in places])
-    return F.get(F.filter(found, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), 0)
+def nodes(job: Column, places: Sequence[str]) -> Column:
+    """What a parsed job has at the places, in their order.  Make it a column of its own: few places exist in a job, and settings look only there."""
+    return F.filter(F.array(*[F.try_variant_get(job, f"$.{p}", "variant") for p in places]), lambda x: x.isNotNull())
+
+
+def number(nodes: Column, *keys: str) -> Column:
+    """The first finite number, or string spelling one, under the first of keys in the first of nodes; null if none."""
+
+    def first(key: str) -> Column:
+        found = F.transform(nodes, lambda x: F.trim(F.try_variant_get(x, f"$.{key}", "string")).try_cast("double"))
+        return F.get(F.filter(found, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), 0)
+
+    return F.coalesce(*[first(key) for key in keys])
+
+
+def is_u32(text: Column) -> Column:
+    """Whether JSON text is a whole number of 32 bits, without a sign, a fraction or an exponent."""
+    return text.rlike("^(0|[1-9][0-9]*)$") & (text.try_cast("double") <= MAX_U32)
 
 
 def whole(value: Column) -> Column:
@@ -87,9 +101,9 @@ BOTTOM_WAITS = {
 }
 
 
-def settings_of_job(job: Column, places: Sequence[str]) -> dict[str, Column]:
-    """Columns of settings for a parsed job; null is absent."""
-    get = lambda *keys: number(job, places, *keys)
+def settings_of_job(nodes: Column) -> dict[str, Column]:
+    """Columns of settings for the nodes of a job; null is absent."""
+    get = lambda *keys: number(nodes, *keys)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = {
         "normal_exposure_ms": milliseconds(zero(get("normalExposureSec"))),

@@ -41,6 +41,12 @@ crypt.unit_index_binding crypt.tag_verify
 STRICT = frozenset(c[:-1] for c in CHECKS if c.endswith("*"))
 RANK = {c.rstrip("*"): i for i, c in enumerate(CHECKS)}
 
+UUID_PATTERN = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+
+
+def is_uuid(text: Column) -> Column:
+    return text.rlike(f"^{UUID_PATTERN}$")
+
 
 def report(df: DataFrame, keys: Sequence[str], failing: Mapping[str, Column], ordinal: Column | None = None) -> DataFrame:
     """A row for each rule whose condition is true for a row of df; null is no failure. ordinal: the place within a file."""

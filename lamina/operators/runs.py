@@ -92,25 +92,36 @@ def planes_length(prefix: str) -> Column:
 def stream_lengths(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, k_runs, k_core, n_edge, n_escape, binary_only, tag0 .. tag3: exact stream bytes of each form.
 
-    tag0 is null where a pixel is anti-aliased. Four small aggregates, joined on the layer keys.
+    tag0 is null where a pixel is anti-aliased.  One sort of the pixels of a layer serves all windows and the one
+    aggregate: the pixel that begins a run knows where the runs before it began, and so the lengths of those that ended.
     """
-    none = F.lit(True)
-
-    def lengths(runs: DataFrame) -> DataFrame:
-        return runs.withColumns({"length": F.col("end") - F.col("start"), "inner": F.lead("run_idx").over(over(keys, "run_idx")).isNotNull()})
-
-    full = lengths(maximal_runs(pixels, keys)).groupBy(*keys).agg(F.count("*").alias("k_runs"), F.bool_and(~is_edge(F.col("value"))).alias("binary_only"), *plane_counts(F.col("length"), F.col("inner"), "r"))
-    core = maximal_runs(pixels.withColumn("value", threshold(F.col("value"))), keys)
-    plain = lengths(core).groupBy(*keys).agg(F.count("*").alias("k_core"), *plane_counts(F.col("length"), F.col("inner"), "c"))
-    even = F.col("j") % 2 == 0
-    parity = stored_lengths(core, keys).groupBy(*keys).agg(*plane_counts(F.col("stored"), even, "e"), *plane_counts(F.col("stored"), ~even, "o"))
-    edge = attachment(pixels, keys)
-    w = over(keys, "pos")
-    edge = edge.withColumns({"step": F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0)), "jump": F.col("value") - F.lag("value").over(w)})
-    inner = edge.filter("kind = 'escape'").withColumn("hop", F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))).groupBy(*keys).agg(F.count("*").alias("n_escape"), *plane_counts(F.col("hop"), none, "h"))
-    drop = F.coalesce(zigzag(F.col("jump")), F.col("value"))
-    marks = edge.groupBy(*keys).agg(F.count("*").alias("n_edge"), *plane_counts(F.col("step"), none, "s"), *plane_counts(drop, none, "v"))
-    t = full.join(plain, list(keys)).join(parity, list(keys), "left").join(marks, list(keys), "left").join(inner, list(keys), "left").fillna(0, ["n_edge", "n_escape"])
+    w, value, pos = over(keys, "pos"), F.col("value"), F.col("pos")
+    earlier = lambda flag, what="pos": F.max(F.when(F.col(flag), F.col(what))).over(before(w))  # noqa: E731  places grow, so the last is the largest
+    p = pixels.select(*keys, "pos", "value", threshold(value).alias("core"), is_edge(value).alias("edge"))
+    p = p.withColumns({"opens": F.coalesce(F.lag("value").over(w) != value, F.lit(True)), "core_opens": F.coalesce(F.lag("core").over(w) != F.col("core"), F.lit(True)), "core_ends": F.coalesce(F.lead("core").over(w) != F.col("core"), F.lit(True))})
+    p = p.withColumn("escape", F.col("edge") & ~F.col("core_opens") & ~F.col("core_ends"))
+    p = p.withColumns({"run_at": earlier("opens"), "at1": earlier("core_opens"), "edge_at": earlier("edge"), "edge_value": F.last(F.when(F.col("edge"), value), True).over(before(w)), "escape_at": earlier("escape"), "ended": F.count_if(F.col("core_opens")).over(before(w)) - 1})
+    p = p.withColumn("at2", earlier("core_opens", "at1"))
+    p = p.withColumn("at3", earlier("core_opens", "at2"))
+    run, core = F.col("opens") & F.col("run_at").isNotNull(), F.col("core_opens") & F.col("at1").isNotNull()
+    length, odd = pos - F.col("at1"), F.col("ended") % 2 == 1
+    stored = F.when(F.col("ended") < 2, length).otherwise(zigzag(length - (F.col("at2") - F.col("at3"))))
+    step, hop = pos - F.coalesce("edge_at", F.lit(0)), pos - F.coalesce("escape_at", F.lit(0))
+    drop = F.coalesce(zigzag(value - F.col("edge_value")), value)
+    t = p.groupBy(*keys).agg(
+        F.count_if("opens").alias("k_runs"),
+        F.count_if("core_opens").alias("k_core"),
+        F.count_if("edge").alias("n_edge"),
+        F.count_if("escape").alias("n_escape"),
+        F.bool_and(~F.col("edge")).alias("binary_only"),
+        *plane_counts(pos - F.col("run_at"), run, "r"),
+        *plane_counts(length, core, "c"),
+        *plane_counts(stored, core & ~odd, "e"),
+        *plane_counts(stored, core & odd, "o"),
+        *plane_counts(step, F.col("edge"), "s"),
+        *plane_counts(drop, F.col("edge"), "v"),
+        *plane_counts(hop, F.col("escape"), "h"),
+    )
     tag0 = 2 + varint_length(F.col("k_core")) + planes_length("c")
     tag3 = 2 + varint_length(F.col("k_core")) + planes_length("e") + planes_length("o") + varint_length(F.col("n_edge")) + F.call_function("div", F.col("k_core") + 3, F.lit(4)) + varint_length(F.col("n_escape")) + planes_length("h") + planes_length("v")
     return t.select(

@@ -92,6 +92,15 @@ def resolve(points: DataFrame, base: str = "base", sector: str = "sector", overr
     return points.withColumns(out)
 
 
+def is_duty(value: Column) -> Column:
+    """A light's duty: a byte."""
+    return value.between(0, 255)
+
+
+def is_temperature(celsius: Column) -> Column:
+    return celsius.between(0, 120)
+
+
 def missing(base: Column) -> Column:
     """Names of the required settings that a base lacks."""
     return F.filter(F.array(*[F.when(base[k].isNull(), k) for k in REQUIRED]), lambda x: x.isNotNull())

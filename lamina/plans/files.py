@@ -13,10 +13,10 @@ from ..operators.validate import validate
 from ..session import materialise
 from ..sources.prints import PrintFiles, write_prints
 from .base import PIXELS, Catalogue, pixels, table
+from .defects import DEFECTS, FRAMED, FRAMING, LABEL, META, STREAMS, key_cases, planted
 
 files = Catalogue()
 
-META = {"meta_version": 1, "normal_exposure_ms": 2500, "bottom_exposure_ms": 30000, "bottom_layer_count": 2, "transition_layer_count": 1, "layer_height_um": 50, "lift_slow_distance_um": 5000, "lift_slow_speed_um_min": 65000, "retract_fast_distance_um": 5000, "retract_fast_speed_um_min": 150000}
 WIDTH = 64
 
 
@@ -93,7 +93,7 @@ def container_is_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(layers, "file_id").select("file_id", "width", "n_layers", F.coalesce("n", F.lit(0)).cast("long").alias("n_failures"))
 
 
-@files.add()
+@files.add("SELECT (user_id % 4)::VARCHAR AS file_id, max(user_id // 4)::BIGINT + 1 AS n_layers, true AS matches FROM events GROUP BY 1")
 def container_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of the decoded files, folded to a root that must equal the stored one."""
     from ..operators import merkle as M
@@ -101,12 +101,12 @@ def container_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = PrintFiles(written(spark, sf_dir)).leaves()
     root = M.root(leaves.select("file_id", F.col("layer").cast("long").alias("idx"), F.col("leaf").alias("hash")), ["file_id"])
     stored = leaves.groupBy("file_id").agg(F.max("root").alias("root"), F.count("*").alias("n_layers"))
-    return stored.join(root, "file_id").select("file_id", "n_layers", F.lower(F.hex("hash")).alias("root"), (F.col("hash") == F.col("root")).alias("matches"))
+    return stored.join(root, "file_id").select("file_id", "n_layers", (F.col("hash") == F.col("root")).alias("matches"))
 
 
-@files.add()
+@files.add("SELECT f || '#' || k AS file_id, true AS named FROM (SELECT DISTINCT (user_id % 4)::VARCHAR AS f FROM events), (SELECT unnest(generate_series(0, 39)) AS k)")
 def container_damage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First failures, loose and strict, of the files with one byte changed at each of 40 places."""
+    """The files with one byte changed at each of 40 places: the trailer's rules come first and name them all."""
     f = written(spark, sf_dir)
     place = F.explode(F.sequence(F.lit(0), F.lit(39)))
     n = F.octet_length("content")
@@ -114,17 +114,74 @@ def container_damage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda a, b: F.substring(F.col("content"), a, b)
     flipped = F.unhex(F.lpad(F.hex((F.conv(F.hex(cut(at, 1)), 16, 10).cast("int").bitwiseXOR(F.lit(85)))), 2, "0"))
     damaged = f.withColumn("k", place).select(F.concat_ws("#", "path", F.col("k").cast("string")).alias("path"), F.concat(cut(1, at - 1), flipped, cut(at + 1, n)).alias("content"))
-    found = materialise(validate(damaged), "damage")
-    loose = RU.first_failure(found, ["file_id"]).withColumnRenamed("check", "loose")
-    strict = RU.first_failure(found, ["file_id"], True).withColumnRenamed("check", "strict")
-    return strict.join(loose, "file_id", "left").select("file_id", "loose", "strict")
+    return RU.first_failure(validate(damaged), ["file_id"]).select("file_id", F.col("check").isin("trailer.crc32c", "trailer.magic").alias("named"))
 
 
-@files.add()
+@files.add(f"""WITH {PIXELS}, s AS (SELECT DISTINCT (layer % 4)::VARCHAR AS f, layer // 4 AS k, sector FROM px WHERE value <> 0),
+n AS (SELECT (layer % 4)::VARCHAR AS f, max(layer // 4) FILTER (value <> 0) + 1 AS layers FROM px GROUP BY 1),
+e AS (SELECT f, layers + coalesce((SELECT count(*) FROM s WHERE s.f = n.f AND sector > 0), 0) AS entries, layers, (SELECT count(DISTINCT (k // 8, sector)) FROM s WHERE s.f = n.f) AS chunks FROM n)
+SELECT f AS file_id, t.kind AS chunk_type, CASE WHEN t.kind = 'LAYR' THEN chunks ELSE 1 END AS n,
+  CASE t.kind WHEN 'HEAD' THEN 50 WHEN 'LTBL' THEN 16 + 28 * entries WHEN 'LHAS' THEN 38 + 32 * layers END::BIGINT AS bytes FROM e, (VALUES ('HEAD'), ('META'), ('LTBL'), ('LHAS'), ('LAYR')) AS t(kind)""")
 def inspector_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The directory as an inspector lists it."""
+    """The directory as an inspector sums it up: chunks of each kind, and the bytes of those whose size the print fixes."""
     c = PrintFiles(written(spark, sf_dir)).chunks()
-    return c.select("file_id", "dir_index", "chunk_type", "offset", "size_uncompressed", "size_compressed", "flags", F.crc32("payload").alias("crc32"))
+    fixed = F.when(F.col("chunk_type").isin("HEAD", "LTBL", "LHAS"), F.col("size_uncompressed"))
+    return c.groupBy("file_id", "chunk_type").agg(F.count("*").alias("n"), F.sum(fixed).alias("bytes"))
+
+
+#: Rules of that group that need a checksum or frames; a file without a header has no row here.
+PYTHON_ONLY = ("trailer.magic", "trailer.crc32c", "header.magic", "presence.zdic")
+
+
+def _values(rows) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in rows) + ")"
+
+
+def _planted(spark: SparkSession, group: str) -> DataFrame:
+    """The first rule that each file of the group breaks."""
+    cases = spark.createDataFrame([(case, data) for case, _, data in planted(group)], "path string, content binary")
+    return RU.first_failure(validate(cases), ["file_id"], True).select(F.col("file_id").alias("case"), "check")
+
+
+@files.add(_values((f"framing {i}", c) for i, c in enumerate([c for c, _ in FRAMING] + [c for c, _, _ in DEFECTS if c.startswith(FRAMED)])) + ' AS t("case", "check")')
+def rules_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers, directories and presence: a file for each planted defect."""
+    return _planted(spark, "framing")
+
+
+@files.add(_values((f"chunks {i}", c) for i, c in enumerate(c for c, _, _ in DEFECTS if not c.startswith(FRAMED))) + ' AS t("case", "check")')
+def rules_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads, JSON, tables, dictionaries, hashes and keys: a file for each planted defect."""
+    return _planted(spark, "chunks")
+
+
+@files.add(_values((f"streams {i}", c) for i, c in enumerate([c for c, _ in STREAMS] + ["sector.partition", "lhas.leaf_match"])) + ' AS t("case", "check")')
+def rules_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-end streams, sectors and leaves: a file for each planted defect."""
+    return _planted(spark, "streams")
+
+
+@files.add(_values((f"{i}", c) for i, c in enumerate((None, None, "crypt.key_unwrap", "crypt.no_key", "crypt.no_key", "crypt.low_order_point", "crypt.unit_index_binding", "crypt.tag_verify"))) + ' AS t("case", "check")')
+def rules_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encrypted files with right and wrong keys: what the report says first."""
+    found = None
+    for i, (_, data, password, secret) in enumerate(key_cases()):
+        case = spark.createDataFrame([(str(i), data)], "path string, content binary")
+        check = RU.first_failure(validate(case, label=LABEL, password=password, secret=secret), ["file_id"], True)
+        one = case.join(check, F.col("path") == F.col("file_id"), "left").select(F.col("path").alias("case"), "check")
+        found = one if found is None else found.union(one)
+    return found
+
+
+@files.add(_values((f"framing {i}", c) for i, c in enumerate([c for c, _ in FRAMING] + [c for c, _, _ in DEFECTS if c.startswith(FRAMED)]) if c not in PYTHON_ONLY) + ' AS t("case", "check")')
+def rules_framing_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by expressions alone: of the rules that a file breaks, the planted one."""
+    from ..sources.directory import framing_report
+
+    wanted = [(case, check, data) for case, check, data in planted("framing") if check not in PYTHON_ONLY]
+    cases = spark.createDataFrame([(case, data) for case, _, data in wanted], "path string, content binary")
+    expected = spark.createDataFrame([(case, check) for case, check, _ in wanted], "file_id string, check string")
+    return framing_report(cases).select("file_id", "check").distinct().join(expected, ["file_id", "check"]).withColumnRenamed("file_id", "case")
 
 
 @files.add("SELECT (l % 4)::VARCHAR AS file_id, 0::BIGINT AS failures, true AS head_first FROM (SELECT DISTINCT user_id AS l FROM events) GROUP BY 1")

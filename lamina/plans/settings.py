@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import jobs as J
+from ..operators import rules as RU
 from ..operators import settings as S
 from .base import Catalogue, table
 
@@ -83,8 +84,11 @@ FROM orders LEFT JOIN labels ON o_orderkey = doc_id""")
 def settings_override_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overrides by layer: the normal key, else the bottom key, else the resolved value."""
     o, x = table(spark, sf_dir, "orders"), table(spark, sf_dir, "labels")
-    normal, bottom = F.when(F.col("quality") == 1, 100 + F.col("doc_id")), F.when(F.col("toxic") == 0, 900 + F.col("doc_id"))
-    return o.join(x, F.col("o_orderkey") == F.col("doc_id"), "left").select("o_orderkey", F.coalesce(normal, bottom, F.lit(2500)).cast("long").alias("exposure_ms"), F.col("doc_id").isNotNull().alias("overridden"))
+    values = {"normal_exposure_ms": F.when(F.col("quality") == 1, 100 + F.col("doc_id")), "bottom_exposure_ms": F.when(F.col("toxic") == 0, 900 + F.col("doc_id"))}
+    override = F.struct(*[values.get(k, F.lit(None)).cast("long").alias(k) for k in (*S.KEYS, *S.COUNTS)], *[F.lit(None).cast("double").alias(k) for k in S.PASSED])
+    points = o.join(x, F.col("o_orderkey") == F.col("doc_id"), "left").select("o_orderkey", F.lit(20).alias("layer"), F.lit(0).alias("sector_id"), F.col("doc_id").isNotNull().alias("overridden"), F.when(F.col("doc_id").isNotNull(), override).alias("override"))
+    points = points.withColumns({"base": base_struct(), "sector": F.when(F.lit(False), base_struct())})
+    return S.resolve(points).select("o_orderkey", "exposure_ms", "overridden")
 
 
 @settings.add("""WITH s AS (SELECT r_regionkey AS sector_id, r_regionkey * 3 AS b, r_regionkey + 2 AS t FROM region),
@@ -99,11 +103,13 @@ def settings_sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sample_points(sectors_, overrides, F.lit(30))
 
 
-@settings.add("""SELECT p_partkey, p_size AS value, p_size BETWEEN 5 AND 45 AS in_range, CASE WHEN p_size < 5 THEN 'pwm.range' WHEN p_retailprice > 1500 THEN 'meta.temperature_range' END AS failed FROM part""")
+@settings.add("""SELECT p_partkey, p_size * 8 - 40 AS light_pwm, round(p_retailprice / 10 - 60, 2) AS chamber,
+ CASE WHEN round(p_retailprice / 10 - 60, 2) NOT BETWEEN 0 AND 120 THEN 'meta.temperature_range' WHEN p_size * 8 - 40 NOT BETWEEN 0 AND 255 THEN 'pwm.range' END AS failed FROM part""")
 def pwm_temperature_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    failed = F.when(F.col("p_size") < 5, "pwm.range").when(F.col("p_retailprice") > 1500, "meta.temperature_range")
-    return p.select("p_partkey", F.col("p_size").alias("value"), F.col("p_size").between(5, 45).alias("in_range"), failed.alias("failed"))
+    """The first of the two rules that a file with these values breaks."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 8 - 40).alias("light_pwm"), F.round(F.col("p_retailprice") / 10 - 60, 2).alias("chamber"))
+    broken = RU.report(p, ["p_partkey"], {"pwm.range": ~S.is_duty(F.col("light_pwm")), "meta.temperature_range": ~S.is_temperature(F.col("chamber"))})
+    return p.join(RU.first_failure(broken, ["p_partkey"]).withColumnRenamed("check", "failed"), "p_partkey", "left")
 
 
 @settings.add("""SELECT event_id, raw, regexp_matches(raw, '^(0|[1-9][0-9]*)$') AND CAST(raw AS DOUBLE) <= 4294967295 AS is_u32
@@ -114,11 +120,7 @@ def integer_json_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, m = F.get_json_object("props", "$.k"), F.col("event_id") % 4
     raw = F.when(m == 0, k).when(m == 1, F.concat(k, F.lit(".0"))).when(m == 2, F.concat(F.lit("42949672"), k)).otherwise(F.concat(F.lit("-1"), k))
     d = e.select("event_id", F.concat(F.lit('{"ms":'), raw, F.lit("}")).alias("json")).select("event_id", F.get_json_object("json", "$.ms").alias("raw"))
-    return d.withColumn("is_u32", is_u32(F.col("raw")))
-
-
-def is_u32(raw):
-    return raw.rlike("^(0|[1-9][0-9]*)$") & (raw.cast("double") <= J.MAX_U32)
+    return d.withColumn("is_u32", J.is_u32(F.col("raw")))
 
 
 _PLACES = J.containers("own", "other")
@@ -137,9 +139,10 @@ def job_value_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.element_at(F.array(*map(F.lit, [*_PLACES, "elsewhere"])), m + 1)
     parts = F.split(place, r"\.")
     nested = F.aggregate(F.reverse(parts), inner, lambda acc, p: F.concat(F.lit('{"'), p, F.lit('":'), acc, F.lit("}")))
-    found = J.settings_of_job(F.col("job"), _PLACES)
+    found = J.settings_of_job(F.col("nodes"))
     names = ("lift_slow_distance_um", "retract_fast_distance_um", "light_pwm", "bottom_wait_time_after_cure_ms")
-    return table(spark, sf_dir, "events").select("event_id", J.parsed(nested).alias("job")).select("event_id", *[found[x].alias(x) for x in names])
+    jobs = table(spark, sf_dir, "events").select("event_id", J.parsed(nested).alias("job")).select("event_id", J.nodes(F.col("job"), _PLACES).alias("nodes"))
+    return jobs.select("event_id", *[found[x].alias(x) for x in names])
 
 
 @settings.add("SELECT p_partkey, (CASE WHEN p_size > 0 THEN CAST(floor(p_retailprice) AS BIGINT) * 1000 // p_size END)::BIGINT AS pixel_um FROM part")

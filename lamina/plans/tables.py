@@ -9,6 +9,7 @@ from ..functions.ints import bits
 from ..operators import layout as L
 from ..operators import merkle as M
 from ..operators import previews as P
+from ..operators import rules as RU
 from .base import Catalogue, table
 
 tables = Catalogue()
@@ -158,11 +159,7 @@ def uuid_and_fourcc_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda a, n: F.substring(m, a, n)
     uuid = F.concat(F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4)), F.when(F.col("page_id") % 5 == 0, "").otherwise("-"), part(21, 12))
     code = F.expr("substr(url, 8, cast(3 + page_id % 3 as int))")
-    return table(spark, sf_dir, "pages").select("page_id", is_uuid(uuid).alias("uuid_ok"), code.rlike("^[\\x20-\\x7E]{4}$").alias("fourcc_ok"))
-
-
-def is_uuid(c):
-    return c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+    return table(spark, sf_dir, "pages").select("page_id", RU.is_uuid(uuid).alias("uuid_ok"), code.rlike("^[\\x20-\\x7E]{4}$").alias("fourcc_ok"))
 
 
 @tables.add("""SELECT page_id // 8 AS file, page_id, (page_id % 4)::INT AS role FROM pages WHERE page_id % 8 <> 1

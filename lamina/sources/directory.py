@@ -11,15 +11,15 @@ from ..functions.ints import bits
 LONG_MOST = (1 << 63) - 1
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """file_id, magic, version, dir_offset, chunk_count, flags, total, size of each file (path, content)."""
+def headers(files: DataFrame, *more: str) -> DataFrame:
+    """file_id, magic, version, dir_offset, chunk_count, flags, total, size of each file (path, content), and more of its columns."""
     c = F.col("content")
-    return files.select(F.col("path").alias("file_id"), ascii4(c, 0).alias("magic"), u32(c, 4).alias("version"), u64(c, 8).alias("dir_offset"), u32(c, 16).alias("chunk_count"), u32(c, 20).alias("flags"), u64(c, 24).alias("total"), F.octet_length("content").cast("long").alias("size"))
+    return files.select(F.col("path").alias("file_id"), ascii4(c, 0).alias("magic"), u32(c, 4).alias("version"), u64(c, 8).alias("dir_offset"), u32(c, 16).alias("chunk_count"), u32(c, 20).alias("flags"), u64(c, 24).alias("total"), F.octet_length("content").cast("long").alias("size"), *more)
 
 
 def descriptors(files: DataFrame) -> DataFrame:
     """A row for each descriptor of the files whose directory lies within them."""
-    h = headers(files).alias("h").join(files.alias("f"), F.col("h.file_id") == F.col("f.path")).filter("dir_offset >= 32 and dir_offset + 32 * chunk_count <= size - 8")
+    h = headers(files, "content").filter("dir_offset >= 32 and dir_offset + 32 * chunk_count <= size - 8")
     rows = h.filter("chunk_count > 0").select("file_id", "content", F.col("dir_offset").cast("long").alias("at"), F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("chunk_count") - 1)).alias("dir_index", "i"))
     c, at = F.col("content"), F.col("at") + F.col("i") * 32
     return rows.select("file_id", "dir_index", ascii4(c, at).alias("chunk_type"), u64(c, at + 4).alias("offset"), u64(c, at + 12).alias("size_uncompressed"), u64(c, at + 20).alias("size_compressed"), u32(c, at + 28).alias("flags"))

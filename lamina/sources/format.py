@@ -103,6 +103,13 @@ def parse_header(data: bytes) -> Header:
     return Header(*HEADER.unpack_from(data))
 
 
+def parse_descriptor(data: bytes, index: int) -> Chunk:
+    if len(data) < DESCRIPTOR.size:
+        raise Fault("dir.descriptor", f"{len(data)} bytes of descriptor {index}")
+    kind, offset, size, compressed, flags = DESCRIPTOR.unpack_from(data)
+    return Chunk(kind.decode("latin-1"), b"", size, compressed, flags, offset, index)
+
+
 def parse_directory(data: bytes, h: Header) -> list[Chunk]:
     """All descriptors, null ones too (offset 0); payloads only where they lie in the file."""
     end = h.dir_offset + 32 * h.chunk_count
@@ -110,10 +117,9 @@ def parse_directory(data: bytes, h: Header) -> list[Chunk]:
         raise Fault("header.dir_offset", f"{h.chunk_count} descriptors at {h.dir_offset} in {len(data)} bytes")
     out = []
     for i in range(h.chunk_count):
-        kind, offset, size, compressed, flags = DESCRIPTOR.unpack_from(data, h.dir_offset + 32 * i)
-        c = Chunk(kind.decode("latin-1"), b"", size, compressed, flags, offset, i)
-        if offset:
-            c.payload = data[offset : offset + c.stored]
+        c = parse_descriptor(data[h.dir_offset + 32 * i : h.dir_offset + 32 * (i + 1)], i)
+        if c.offset:
+            c.payload = data[c.offset : c.offset + c.stored]
         out.append(c)
     return out
 

@@ -75,8 +75,8 @@ def test_missing_required(spark):
 
 def test_jobs(spark):
     job = {"own": {"liftDistanceMm": 2.0005, "bottomLiftDistanceMm": 0, "projectorPwmPercent": "50", "bottomWaitTimeBeforeCureSec": 0}, "export": {"other": {"timing": {"normalExposureSec": 2.5}}}, "material": {"liftDistanceMm": 9, "waitTimeAfterCureSec": "x", "lightOffDelaySec": 1.5, "zstdLevel": 40}}
-    d = spark.createDataFrame([(json.dumps(job),), ("not json",)], "job string").select(J.parsed(F.col("job")).alias("job"))
-    found = d.select(*[c.alias(n) for n, c in J.settings_of_job(F.col("job"), J.containers("own", "other")).items()]).collect()
+    d = spark.createDataFrame([(json.dumps(job),), ("not json",)], "job string").select(J.parsed(F.col("job")).alias("job")).select(J.nodes(F.col("job"), J.containers("own", "other")).alias("nodes"))
+    found = d.select(*[c.alias(n) for n, c in J.settings_of_job(F.col("nodes")).items()]).collect()
     a, b = found
     assert (a["lift_slow_distance_um"], a["normal_exposure_ms"], a["retract_fast_distance_um"], a["bottom_lift_slow_distance_um"]) == (2001, 2500, 2001, 0)
     assert (a["light_pwm"], a["bottom_wait_time_before_cure_ms"], a["wait_time_after_cure_ms"], a["zstd_level"]) == (127, None, 1500, 22)
