@@ -56,6 +56,16 @@ def indicators(column: pa.Array):
         yield a, flags
 
 
+def stored(flags: np.ndarray) -> bytes:
+    """A text's indicators: their numbers, or all flags as bits where that is shorter, so FEATURES / 8 bytes at most."""
+    numbers = np.flatnonzero(flags).astype(np.int32).tobytes()
+    return numbers if len(numbers) < FEATURES // 8 else np.packbits(flags).tobytes()
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).astype(np.int32) if len(raw) == FEATURES // 8 else np.frombuffer(raw, np.int32)
+
+
 def log_count_ratio(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     counts = np.ones((2, FEATURES))
     for x, y in zip(rows, label):
@@ -126,7 +136,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 3000, cost: float = 1.0) -> Model:
-    """train: a condition on id, for rows of labels. A row with a null id or label teaches nothing; of several labels of one id the least counts; of several texts all.
+    """train: a condition on id, for rows of labels. A row with a null id or label teaches nothing; of several labels of one id the least counts; of several texts all,
+    but no more than 4 * per_class rows together, those with the least hash.  At most FEATURES / 8 bytes of a row, whatever
+    its text's length, come to the driver.
 
     With no row, or only one class, the model is the prior: the share of label 1, smoothed by one row of each class.
     """
@@ -146,14 +158,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", t
             at = batch.schema.get_field_index
             found = []
             for _, flags in indicators(batch.column(at("text"))):
-                found += [np.flatnonzero(f).astype(np.int32).tobytes() for f in flags]
+                found += [stored(f) for f in flags]
             yield pa.RecordBatch.from_arrays([batch.column(at(id)), batch.column(at("y")), pa.array(found, pa.binary())], names=["id", "y", "features"])
 
-    rows = sorted(picked.mapInArrow(features, "id long, y int, features binary").limit(4 * per_class).collect(), key=lambda r: (r["id"], bytes(r["features"])))
+    found = picked.mapInArrow(features, "id long, y int, features binary").orderBy(F.xxhash64("id", "features"), "id").limit(4 * per_class)  # ids may repeat
+    rows = sorted(found.collect(), key=lambda r: (r["id"], bytes(r["features"])))
     y = np.array([r["y"] for r in rows], np.int64)
     if len(np.unique(y)) < 2:
         return Model(None, 0.0, None, 0.0, prior)
-    x = [np.frombuffer(r["features"], np.int32) for r in rows]
+    x = [numbers(bytes(r["features"])) for r in rows]
     number = np.random.default_rng(3).permutation(len(rows))
     held = number % 4 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
@@ -177,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", t
 def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """df with score (0 to 1) and predicted (1 if score >= threshold); names get underscores in front where they clash.
 
-    Only the text enters the score, so equal texts have equal scores.  A null text counts as empty.  An empty table
+    Only the text enters the score, so equal texts have equal scores.  A null text counts as empty; a text of any length
+    is scored as a whole, by the task that reads it.  An empty table
     stays empty.
     """
     spark = df.sparkSession

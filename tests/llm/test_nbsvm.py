@@ -1,10 +1,14 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lamina.llm import nbsvm
 from lamina.llm.queries import QUERIES
 
-from .common import SF
+from .common import DOCS, SF, corpus
+from .test_cascade import brute as measures
 
 
 def test_held_out_accuracy(spark):
@@ -60,3 +64,37 @@ def test_without_two_classes_the_prior_is_the_score(spark):
     for rows, want in (([], 0.5), ([(1, 1), (2, 1)], 0.75)):
         model = nbsvm.fit(df, spark.createDataFrame(rows, "doc_id long, quality int"), F.lit(True))
         assert [round(r["score"], 6) for r in nbsvm.classify(df, model).collect()] == [want, want]
+
+
+def slow_indicators(text):
+    """The numbers of a text's indicators, one by one."""
+    raw = (text or "").encode()
+    out = {65536 + b for b in raw}
+    out |= {(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1) & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 2)}
+    n, _, _, dup, repeat, lines, stutters, *_ = measures(text)
+    for k, (part, whole) in enumerate(((stutters, n), (dup, lines), (repeat, n))):
+        step = min(max(math.floor(math.log2(part / whole)) + 16, 1), 15) if part else 0
+        out.add(65536 + 256 + 16 * k + step)
+    return out
+
+
+def test_against_a_plain_version(spark):
+    """Indicators, ratios and margins, each from its definition."""
+    texts = [t for _, t in corpus(6, 40)] + ["la la la " * 30, "same\n" * 9, "é\U0001f600" * 50]
+    fast = []
+    for _, flags in nbsvm.indicators(pa.array(texts, pa.string())):
+        fast += [nbsvm.numbers(nbsvm.stored(f)) for f in flags]
+    slow = [slow_indicators(t) for t in texts]
+    assert [set(f.tolist()) for f in fast] == slow
+    label = np.array([i % 3 != 0 for i in range(len(texts))], np.int64)
+    counts = [[1 + sum(j in s for s, y in zip(slow, label) if y == c) for j in range(nbsvm.FEATURES)] for c in (0, 1)]
+    scale = [math.log((b / sum(counts[1])) / (a / sum(counts[0]))) for a, b in zip(*counts)]
+    assert np.allclose(nbsvm.log_count_ratio(fast, label), scale)
+    w, bias = nbsvm.hinge_descent(fast, np.array(scale), label, np.ones(len(texts)), rounds=300)
+    margins = [sum(w[j] * scale[j] for j in s) / math.sqrt(sum(scale[j] ** 2 for j in s)) + bias for s in slow]
+    model = nbsvm.Model(w, bias, np.array(scale), 2.0, -0.5)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in nbsvm.classify(df, model).collect()}
+    for i, m in enumerate(margins):
+        want = 1 / (1 + math.exp(-(2 * m - 0.5)))
+        assert abs(got[i][0] - want) < 1e-4 and (got[i][1] == (want >= 0.3) or abs(want - 0.3) < 1e-4)
