@@ -13,13 +13,16 @@ from .codec import ATTACHED, Fault, encode
 
 @dataclass
 class Print:
-    """layers: for each layer, sector -> runs.  tags: forced tags by (layer, sector).  overrides: by (layer, sector)."""
+    """layers: for each layer, sector -> runs.  tags: forced tags by (layer, sector).
+
+    overrides: by (layer, sector), or a list of (layer, sector, settings), in which a pair may come only once.
+    """
 
     head: X.Head
     meta: dict
     layers: list[dict[int, tuple[np.ndarray, np.ndarray]]]
     tags: dict[tuple[int, int], int] = field(default_factory=dict)
-    overrides: dict[tuple[int, int], dict] = field(default_factory=dict)
+    overrides: dict[tuple[int, int], dict] | list[tuple[int, int, dict]] = field(default_factory=dict)
     profile: dict | None = None
     previews: list[tuple[int, bytes]] = field(default_factory=list)
     extensions: list[tuple[int, bool, bytes, bytes]] = field(default_factory=list)  # vendor, critical, type, data
@@ -31,6 +34,14 @@ class Print:
     hashes: bool = True
     share_overrides: bool = True
 
+    def __post_init__(self):
+        if not isinstance(self.overrides, dict):
+            pairs = [(layer, sector) for layer, sector, _ in self.overrides]
+            twice = sorted({at for at in pairs if pairs.count(at) > 1}) if len(set(pairs)) < len(pairs) else []
+            if twice:
+                raise Fault("lrov.orphan", f"two sets of overrides for layer and sector {twice[0]}")
+            self.overrides = {(layer, sector): settings for layer, sector, settings in self.overrides}
+
 
 def sample_windows(parts: list[bytes], size: int = 1024, most: int = 256) -> list[bytes]:
     """At most `most` windows at equal steps over all plaintext."""

@@ -74,6 +74,14 @@ def test_keys_in_the_report():
         assert (found[0][0] if found else None) == check
 
 
+def test_an_override_comes_once():
+    pairs = [(0, 1, {"normal_exposure_ms": 2800}), (1, 0, {"lift_slow_distance_um": 6000})]
+    assert build(job(overrides=pairs)) == build(job(overrides={(a, b): c for a, b, c in pairs}))
+    with pytest.raises(Fault) as e:
+        job(overrides=[*pairs, (0, 1, {"normal_exposure_ms": 1})])
+    assert e.value.check == "lrov.orphan"
+
+
 def test_short_descriptors_are_named():
     with pytest.raises(Fault) as e:
         X.parse_descriptor(b"x" * 31, 0)
