@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ints import int_div
 from ..operators import rules as RU
+from ..operators.previews import png
 from ..operators.validate import validate
 from ..session import materialise
 from ..sources.prints import PrintFiles, write_prints
@@ -129,6 +131,69 @@ def inspector_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("file_id", "chunk_type").agg(F.count("*").alias("n"), F.sum(fixed).alias("bytes"))
 
 
+def furnished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with all that a print may carry: a profile, overrides, a preview, an extension, a scene, a dictionary."""
+    s = spans(spark, sf_dir)
+    k = F.col("file_id").cast("int")
+    extension = F.struct(k.alias("vendor"), F.lit(False).alias("critical"), F.lit("NOTE").alias("ext_type"), F.encode(F.concat(F.lit("file "), "file_id"), "UTF-8").alias("data"))
+    heads = s.groupBy("file_id").agg(F.lit(WIDTH).alias("width"), (F.max("end") / WIDTH + 1).cast("int").alias("height"), (F.max("layer") + 1).alias("total_layers"), F.lit(json.dumps(META)).alias("meta"))
+    heads = heads.select(
+        "*",
+        F.concat(F.lit("writer "), "file_id").alias("encoder"),
+        (k + 1_700_000_000).cast("long").alias("created"),
+        (k * 10 + 500).alias("build_w"),
+        F.lit(json.dumps(PROFILE)).alias("profile"),
+        F.array(F.struct(F.lit(1).alias("role"), F.lit(png(np.zeros((4, 5), np.uint8))).alias("image"))).alias("previews"),
+        F.array(extension).alias("extensions"),
+        F.encode(F.concat(F.lit("VOXL scene "), "file_id"), "UTF-8").alias("scene"),
+    )
+    settings = F.to_json(F.struct((F.col("layer") % 4 + 2500).alias("normal_exposure_ms")))
+    overrides = s.filter("layer % 3 = 0").select("file_id", "layer", F.lit(0).cast("long").alias("sector_id")).distinct().withColumn("settings", settings)
+    return materialise(write_prints(s, heads, per_chunk=8, overrides=overrides, dictionary=True), "furnished")
+
+
+PROFILE = {"profile_type": "material", "profile_name": "plain", "profile_version": "1", "profile_uuid": "12345678-1234-1234-1234-1234567890ab", "settings": META}
+_FILES = "(SELECT DISTINCT (user_id % 4)::VARCHAR AS f FROM events)"
+
+
+@files.add(f"""SELECT f AS file_id, 'writer ' || f AS encoder, 1700000000 + f::BIGINT AS created, 500 + 10 * f::BIGINT AS build_w, 'plain' AS profile_name,
+  1 AS role, f::BIGINT AS vendor, 'NOTE' AS ext_type, 'file ' || f AS note, 'VOXL scene ' || f AS scene, false AS encrypted, true AS multi_sector, 0::BIGINT AS failures FROM {_FILES}""")
+def container_furnished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sink is told beside the layers, read back by the views; the files break no rule."""
+    f = furnished(spark, sf_dir)
+    p = PrintFiles(f)
+    bad = validate(f).groupBy("file_id").agg(F.count("*").alias("n"))
+    profile = p.objects().filter("chunk_type = 'PROF'").select("file_id", F.get_json_object("json", "$.profile_name").alias("profile_name"))
+    notes = p.extensions().select("file_id", F.col("vendor").cast("long").alias("vendor"), "ext_type", F.decode("data", "UTF-8").alias("note"))
+    scenes = p.scenes().select("file_id", F.decode("scene", "UTF-8").alias("scene"))
+    out = p.heads().select("file_id", "encoder", "created", "build_w")
+    for more in (profile, p.previews().select("file_id", "role"), notes, scenes, p.flags().select("file_id", "encrypted", "multi_sector")):
+        out = out.join(more, "file_id")
+    return out.join(bad, "file_id", "left").withColumn("failures", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
+
+
+@files.add(f"""WITH {PIXELS} SELECT DISTINCT (layer % 4)::VARCHAR AS file_id, (layer // 4)::INT AS layer, 0::BIGINT AS sector_id, (2500 + (layer // 4) % 4)::BIGINT AS exposure FROM px WHERE value <> 0 AND (layer // 4) % 3 = 0""")
+def container_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides of layers, found from the table's entries; equal ones share a chunk."""
+    p = PrintFiles(furnished(spark, sf_dir))
+    held = p.objects().filter("chunk_type = 'LROV'").select("file_id", F.col("dir_index").cast("long").alias("first_lrov"), F.get_json_object("json", "$.normal_exposure_ms").cast("long").alias("exposure"))
+    return p.entries().filter("first_lrov > 0").join(held, ["file_id", "first_lrov"]).select("file_id", "layer", "sector_id", "exposure")
+
+
+@files.add(f"""WITH {PIXELS} SELECT (layer % 4)::VARCHAR AS file_id, (layer // 4)::INT AS layer, sector::BIGINT AS sector_id, count(*) AS exposed, min(pos)::BIGINT AS "first", max(pos)::BIGINT AS "last"
+FROM px WHERE value <> 0 GROUP BY ALL""")
+def inspector_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inspector's rows: the exposed pixels of each layer and sector, and the first and last of them."""
+    return PrintFiles(furnished(spark, sf_dir)).inspect_layers().select("file_id", "layer", "sector_id", "exposed", "first", "last")
+
+
+@files.add(f"""WITH {PIXELS}, s AS (SELECT DISTINCT (layer % 4)::VARCHAR AS f, layer // 4 AS k, sector FROM px WHERE value <> 0)
+SELECT f AS file_id, max(k)::BIGINT + 1 AS layers, max(k)::BIGINT + 1 + count(*) FILTER (sector > 0) AS entries, count(DISTINCT (k // 8, sector)) AS frames,
+  count(DISTINCT k) FILTER (k % 3 = 0) AS overridden FROM s GROUP BY f""")
+def inspector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PrintFiles(furnished(spark, sf_dir)).inspect().select("file_id", "layers", "entries", "frames", "overridden")
+
+
 #: Rules of that group that need a checksum or frames; a file without a header has no row here.
 PYTHON_ONLY = ("trailer.magic", "trailer.crc32c", "header.magic", "presence.zdic")
 

@@ -43,9 +43,17 @@ class Print:
             self.overrides = {(layer, sector): settings for layer, sector, settings in self.overrides}
 
 
-def sample_windows(parts: list[bytes], size: int = 1024, most: int = 256) -> list[bytes]:
+#: Windows that a dictionary is trained on. Fixed value.
+WINDOWS = 256
+
+
+def windows_of(part: bytes, size: int = 1024) -> list[bytes]:
+    return [part[i : i + size] for i in range(0, len(part), size) if len(part) - i >= 8]
+
+
+def sample_windows(parts: list[bytes], size: int = 1024, most: int = WINDOWS) -> list[bytes]:
     """At most `most` windows at equal steps over all plaintext."""
-    windows = [p[i : i + size] for p in parts for i in range(0, len(p), size) if len(p[i : i + size]) >= 8]
+    windows = [w for p in parts for w in windows_of(p, size)]
     return windows[:: max(1, -(-len(windows) // most))]
 
 
@@ -53,28 +61,38 @@ def sample_windows(parts: list[bytes], size: int = 1024, most: int = 256) -> lis
 SMALL_PRINT, PROBE_BYTES, PROBE_GAIN = 8 << 20, 4 << 20, 0.002
 
 
+def probe_of(parts: list[bytes]) -> bytes:
+    """Starts of the first, middle and last chunk."""
+    return b"".join(parts[i][: PROBE_BYTES // 3] for i in (0, (len(parts) - 1) // 2, len(parts) - 1)) if parts else b""
+
+
 def pays(parts: list[bytes], dictionary: bytes, level: int) -> bool:
-    """Whether a probe of the first, middle and last chunk shrinks by more than the dictionary's share of it."""
-    total = sum(map(len, parts))
-    if total < SMALL_PRINT:
+    return saves(probe_of(parts), sum(map(len, parts)), dictionary, level)
+
+
+def saves(probe: bytes, total: int, dictionary: bytes, level: int) -> bool:
+    """Whether a probe of a print of `total` bytes shrinks by more than the dictionary's share of it."""
+    if total < SMALL_PRINT or not probe:
         return True
-    probe = b"".join(parts[i][: PROBE_BYTES // 3] for i in (0, (len(parts) - 1) // 2, len(parts) - 1))
     share = len(dictionary) * len(probe) / total
-    return not probe or len(X.zstd(probe, level, dictionary)) + share < len(X.zstd(probe, level)) * (1 - PROBE_GAIN)
+    return len(X.zstd(probe, level, dictionary)) + share < len(X.zstd(probe, level)) * (1 - PROBE_GAIN)
 
 
 def train(parts: list[bytes], level: int = 6) -> bytes | None:
+    return train_on(sample_windows(parts), probe_of(parts), sum(map(len, parts)), level)
+
+
+def train_on(samples: list[bytes], probe: bytes, total: int, level: int = 6) -> bytes | None:
     """A dictionary from windows over the whole print, where training succeeds and it pays."""
     import zstandard
 
-    samples = sample_windows(parts)
     if len(samples) < 8:
         return None
     try:
         trained = zstandard.train_dictionary(min(X.DICT_MOST, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
         return None
-    return trained if pays(parts, trained, level) else None
+    return trained if saves(probe, total, trained, level) else None
 
 
 def encode_layers(layers: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]], sectors: dict[int, list[int]], pixels: int, probe: bool = True, tags: dict[tuple[int, int], int] | None = None) -> tuple[dict, dict]:

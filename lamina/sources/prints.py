@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import json
+import os
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ints import bits
+from ..functions.keys import machine_entry, password_section
 from ..operators import settings as S
 from ..operators.previews import png, role_rank
+from ..session import materialise
 from . import format as X
-from .codec import decode, mask_of_runs, runs_of_spans
-from .encode import Print, choose_frame, encode_layers, lay_out
-from .sealing import open_file, session_key
+from .codec import Fault, decode, mask_of_runs, runs_of_spans
+from .encode import PROBE_BYTES, WINDOWS, Print, choose_frame, encode_layers, lay_out, train_on, windows_of
+from .sealing import open_file, seal_file, session_key
 
 FILES = "path string, content binary"
 HEADS = "file_id string, encoder string, created long, width long, height long, build_w long, build_d long, build_h long, layer_height_um long, total_layers long"
@@ -201,6 +206,81 @@ class PrintFiles:
         points = self.entries().select("file_id", "layer", "sector_id", "first_lrov").join(base.select("file_id", "base"), "file_id").join(own, ["file_id", "sector_id"], "left").join(over, ["file_id", "first_lrov"], "left")
         return S.resolve(points).drop("base", "sector", "override", "first_lrov")
 
+    def flags(self) -> DataFrame:
+        """(file_id, version, chunk_count, encrypted, multi_sector, total, size), by expressions alone."""
+        from .directory import headers
+
+        set_ = lambda mask: F.col("flags").bitwiseAND(mask) != 0
+        return headers(self.files).select("file_id", "version", "chunk_count", set_(X.ENCRYPTED).alias("encrypted"), set_(X.MULTI_SECTOR).alias("multi_sector"), F.col("total").cast("long").alias("total"), "size")
+
+    def scenes(self) -> DataFrame:
+        """(file_id, scene) of files with a clear scene."""
+
+        def rows(name, data):
+            for c in X.parse_directory(data, X.parse_header(data)):
+                if c.offset and c.kind == "VOXL" and not c.flags & X.SEALED:
+                    yield (name, X.payload_of(c))
+
+        return _each(self.files, "file_id string, scene binary", rows, 1)
+
+    def dictionaries(self) -> DataFrame:
+        """(file_id, dict_id, dictionary) of files with a clear dictionary."""
+
+        def rows(name, data):
+            for c in X.parse_directory(data, X.parse_header(data)):
+                if c.offset and c.kind == "ZDIC" and not c.flags & X.SEALED:
+                    yield (name, *X.parse_dictionary(c.payload))
+
+        return _each(self.files, "file_id string, dict_id long, dictionary binary", rows, 16)
+
+    def hashes(self) -> DataFrame:
+        """(file_id, layer, leaf, root) as the files store them, not recomputed."""
+
+        def rows(name, data):
+            for c in X.parse_directory(data, X.parse_header(data)):
+                if c.offset and c.kind == "LHAS":
+                    _, root, leaves = X.parse_hashes(c.payload)
+                    for k, x in enumerate(leaves):
+                        yield (name, k, x, root)
+
+        return _each(self.files, LEAVES, rows)
+
+    def auth(self) -> DataFrame:
+        """(file_id, cipher, by_password, fingerprints): how a file opens; no secret is needed to read it."""
+
+        def rows(name, data):
+            for c in X.parse_directory(data, X.parse_header(data)):
+                if c.offset and c.kind == "AUTH":
+                    a = X.Auth.parse(c.payload)
+                    yield (name, a.cipher, bool(a.mode & 1), [f for f, _, _ in a.recipients()] if a.mode & 2 else [])
+
+        return _each(self.files, "file_id string, cipher string, by_password boolean, fingerprints array<binary>", rows)
+
+    def inspect(self) -> DataFrame:
+        """An inspector's summary: (file_id, layers, entries, sectors, frames, data_bytes, frame_bytes, overridden)."""
+
+        def rows(name, data):
+            p = X.read(data)
+            yield (name, p.layers, len(p.entries), len({e.sector for e in p.entries}), len(p.frames), sum(e.data_size for e in p.entries), sum(len(f) for f, _ in p.frames.values()), sum(e.first_lrov > 0 for e in p.entries))
+
+        return _each(self.files, "file_id string, layers long, entries long, sectors long, frames long, data_bytes long, frame_bytes long, overridden long", rows)
+
+    def inspect_layers(self) -> DataFrame:
+        """A row for each entry with bytes: (file_id, layer, sector_id, tag, data_size, n_runs, exposed, first, last), pixels counted and the first and last exposed."""
+
+        def rows(name, data):
+            p = X.read(data)
+            pixels = p.head.width * p.head.height
+            for e in p.entries:
+                if e.data_size:
+                    stream = p.slice(e)
+                    starts, values = decode(stream, pixels)
+                    ends, lit = np.append(starts[1:], pixels), values > 0
+                    some = bool(lit.any())
+                    yield (name, e.layer, e.sector, stream[0], e.data_size, len(starts), int((ends - starts)[lit].sum()), int(starts[lit][0]) if some else None, int(ends[lit][-1]) - 1 if some else None)
+
+        return _each(self.files, "file_id string, layer int, sector_id long, tag int, data_size long, n_runs long, exposed long, first long, last long", rows)
+
     def leaves(self) -> DataFrame:
         """Leaf hashes of the data, with the stored root (null without one)."""
 
@@ -215,66 +295,174 @@ class PrintFiles:
 
 
 GROUPS = "file_id string, layer_group int, sector_id long, frame binary, layers array<int>, sizes array<long>, leaf_layers array<int>, leaves array<binary>"
+SAMPLES = "file_id string, layer_group int, sector_id long, place int, rank long, bytes long, window binary, probe binary"
+_GROUPS = pa.schema([("file_id", pa.string()), ("layer_group", pa.int32()), ("sector_id", pa.int64()), ("frame", pa.binary()), ("layers", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("leaf_layers", pa.list_(pa.int32())), ("leaves", pa.list_(pa.binary()))])
+_SAMPLES = pa.schema([("file_id", pa.string()), ("layer_group", pa.int32()), ("sector_id", pa.int64()), ("place", pa.int32()), ("rank", pa.int64()), ("bytes", pa.int64()), ("window", pa.binary()), ("probe", pa.binary())])
+
+
+def _plain(x):
+    return x.as_py() if hasattr(x, "as_py") else x
+
+
+def _sized(spans: DataFrame, heads: DataFrame, per_chunk: int) -> DataFrame:
+    sizes = heads.select("file_id", (F.col("width") * F.col("height")).cast("long").alias("pixels"), F.ceil(F.col("total_layers") / per_chunk).cast("int").alias("groups"))
+    return spans.join(sizes, "file_id").withColumn("layer_group", F.floor(F.col("layer") / per_chunk).cast("int"))
 
 
-def encode_groups(spans: DataFrame, heads: DataFrame, per_chunk: int = 64, level: int = 6) -> DataFrame:
+def _streams(table: pa.Table, probe: bool) -> tuple[dict[int, list[int]], dict, dict, list[tuple[int, list[int]]]]:
+    """Of a group's spans: sectors by layer, both forms of the streams, and (sector, its layers with bytes)."""
+    pixels = table.column("pixels")[0].as_py()
+    spans_of: dict[int, dict[int, list]] = {}
+    for layer, sector, a, b, v in zip(*(table.column(c).to_pylist() for c in ("layer", "sector_id", "start", "end", "value"))):
+        spans_of.setdefault(layer, {}).setdefault(sector, []).append((a, b, v))
+    layers = {k: {s: runs_of_spans(x, pixels) for s, x in v.items()} for k, v in sorted(spans_of.items())}
+    sectors = {k: sorted({0, *v}) for k, v in layers.items()}
+    first, second = encode_layers(layers, sectors, pixels, probe)
+    held = [(s, [k for k in layers if first.get((k, s))]) for s in sorted({s for _, s in first})]
+    return sectors, first, second, [(s, ks) for s, ks in held if ks]
+
+
+def train_dictionaries(sized: DataFrame, level: int = 6) -> DataFrame:
+    """(file_id, dictionary) of the prints that a dictionary pays for, without any print meeting in one task.
+
+    Each layer group offers its windows of least hash, of which the least of the whole print are trained on: all windows of a
+    small print, in their order.  The probe is the start of the print's first, middle and last group.
+    """
+
+    def sample(key: tuple, table: pa.Table) -> pa.Table:
+        name, group = map(_plain, key)
+        number = table.column("groups")[0].as_py()
+        _, first, _, held = _streams(table, False)
+        windows, totals = [], []
+        for s, ks in held:
+            part = b"".join(first[k, s] for k in ks)
+            probe = part[: PROBE_BYTES // 3] if not totals and group in (0, (number - 1) // 2, number - 1) else None
+            totals.append((name, group, s, -1, 0, len(part), None, probe))
+            windows += [(name, group, s, i, zlib.crc32(struct.pack("<iqi", group, s, i)), 0, w, None) for i, w in enumerate(windows_of(part))]
+        rows = totals + sorted(windows, key=lambda r: (r[4], r[2], r[3]))[:WINDOWS]
+        return pa.Table.from_pylist([dict(zip(_SAMPLES.names, r)) for r in rows], _SAMPLES)
+
+    def learn(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        windows = [r["window"] for r in sorted(left.to_pylist(), key=lambda r: (r["layer_group"], r["sector_id"], r["place"]))]
+        total = right.to_pylist()[0]
+        found = train_on(windows, b"".join(p["probe"] for p in total["probes"]), total["bytes"], level)
+        out = [(_plain(key[0]), found)] if found is not None else []
+        return pa.table({"file_id": pa.array([x for x, _ in out], pa.string()), "dictionary": pa.array([x for _, x in out], pa.binary())})
+
+    samples = materialise(sized.groupBy("file_id", "layer_group").applyInArrow(sample, SAMPLES), "samples")
+    order = Window.partitionBy("file_id").orderBy("rank", "layer_group", "sector_id", "place")
+    few = samples.filter("window is not null").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= WINDOWS).select("file_id", "layer_group", "sector_id", "place", "window")
+    probes = F.sort_array(F.collect_list(F.when(F.col("probe").isNotNull(), F.struct("layer_group", "probe"))))  # three at most
+    totals = samples.filter("window is null").groupBy("file_id").agg(F.sum("bytes").alias("bytes"), probes.alias("probes"))
+    return few.groupBy("file_id").cogroup(totals.groupBy("file_id")).applyInArrow(learn, "file_id string, dictionary binary")
+
+
+def encode_groups(spans: DataFrame, heads: DataFrame, per_chunk: int = 64, level: int = 6, probe: bool = True, dictionaries: DataFrame | None = None) -> DataFrame:
     """A row for each chunk (GROUPS) from exposed spans (file_id, layer, sector_id, start, end, value).
 
     The layers of one group meet in a task, with all their sectors; so a file is encoded by as many tasks as it has
     groups.  The first chunk of a group also holds the leaf hashes of the group's layers that have spans.
+    dictionaries (file_id, dictionary) go to every group of their file, by the groups' key.
     """
-    sized = spans.join(heads.select("file_id", (F.col("width") * F.col("height")).cast("long").alias("pixels")), "file_id").withColumn("layer_group", F.floor(F.col("layer") / per_chunk).cast("int"))
-
-    def encode_group(key: tuple, table: pa.Table) -> pa.Table:
-        name, group = (x.as_py() if hasattr(x, "as_py") else x for x in key)
-        pixels = table.column("pixels")[0].as_py()
-        spans_of: dict[int, dict[int, list]] = {}
-        for layer, sector, a, b, v in zip(*(table.column(c).to_pylist() for c in ("layer", "sector_id", "start", "end", "value"))):
-            spans_of.setdefault(layer, {}).setdefault(sector, []).append((a, b, v))
-        layers = {k: {s: runs_of_spans(x, pixels) for s, x in v.items()} for k, v in sorted(spans_of.items())}
-        sectors = {k: sorted({0, *v}) for k, v in layers.items()}
-        first, second = encode_layers(layers, sectors, pixels)
+
+    def encode_group(key: tuple, table: pa.Table, learned: pa.Table | None = None) -> pa.Table:
+        if not table.num_rows:
+            return _GROUPS.empty_table()
+        name, group = map(_plain, key)
+        dictionary = learned.column("dictionary")[0].as_py() if learned is not None and learned.num_rows else None
+        sectors, first, second, held = _streams(table, probe)
         rows, chosen = [], dict(first)
-        for s in sorted({s for _, s in first}):
-            ks = [k for k in layers if first.get((k, s))]
-            if ks:
-                frame, streams = choose_frame([first[k, s] for k in ks], [second[k, s] for k in ks], level, None)
-                chosen |= {(k, s): x for k, x in zip(ks, streams)}
-                rows.append({"file_id": name, "layer_group": group, "sector_id": s, "frame": frame, "layers": ks, "sizes": [len(x) for x in streams], "leaf_layers": [], "leaves": []})
+        for s, ks in held:
+            frame, streams = choose_frame([first[k, s] for k in ks], [second[k, s] for k in ks], level, dictionary)
+            chosen |= {(k, s): x for k, x in zip(ks, streams)}
+            rows.append({"file_id": name, "layer_group": group, "sector_id": s, "frame": frame, "layers": ks, "sizes": [len(x) for x in streams], "leaf_layers": [], "leaves": []})
         if rows:
-            rows[0]["leaf_layers"] = list(layers)
-            rows[0]["leaves"] = [X.leaf(b"".join(chosen[k, s] for s in sectors[k])) for k in layers]
-        kinds = [("file_id", pa.string()), ("layer_group", pa.int32()), ("sector_id", pa.int64()), ("frame", pa.binary()), ("layers", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("leaf_layers", pa.list_(pa.int32())), ("leaves", pa.list_(pa.binary()))]
-        return pa.Table.from_pylist(rows, pa.schema(kinds))
+            rows[0]["leaf_layers"] = list(sectors)
+            rows[0]["leaves"] = [X.leaf(b"".join(chosen[k, s] for s in sectors[k])) for k in sectors]
+        return pa.Table.from_pylist(rows, _GROUPS)
 
-    return sized.groupBy("file_id", "layer_group").applyInArrow(encode_group, GROUPS)
+    groups = _sized(spans, heads, per_chunk).groupBy("file_id", "layer_group")
+    if dictionaries is None:
+        return groups.applyInArrow(lambda key, table: encode_group(key, table), GROUPS)
+    number = F.greatest(F.ceil(F.col("total_layers") / per_chunk).cast("int"), F.lit(1))
+    each = heads.select("file_id", F.explode(F.sequence(F.lit(0), number - 1)).alias("layer_group")).join(dictionaries, "file_id").select(F.col("file_id").alias("print"), "layer_group", "dictionary")  # a name of its own, as heads may come from the spans
+    return groups.cogroup(each.groupBy("print", "layer_group")).applyInArrow(encode_group, GROUPS)
 
 
-def write_prints(spans: DataFrame, heads: DataFrame, per_chunk: int = 64) -> DataFrame:
+def write_prints(spans: DataFrame, heads: DataFrame, per_chunk: int = 64, overrides: DataFrame | None = None, level: int = 6, probe: bool = True, dictionary: bool = False, hashes: bool = True, share_overrides: bool = True) -> DataFrame:
     """(path, content) from exposed spans and heads (file_id, width, height, total_layers, meta).
 
-    Layer groups are encoded in parallel; only their frames meet in one task, as a file is one value of bytes.  No
-    dictionary is trained, as that would take the whole print; encode.build does for one print.
+    heads may also have encoder, created, build_w, build_d, build_h, layer_height_um, profile (JSON), previews (structs of
+    role and image), extensions (structs of vendor, critical, ext_type and data) and scene; a null one is left out, or
+    keeps its default.  overrides: (file_id, layer, sector_id, settings as JSON), a pair only once in a file, or the file
+    is refused.  Layer groups are encoded in parallel; only their frames meet in one task, as a file is one value of bytes.
+    With `dictionary` the spans are read once before, for a sample of the whole print.
     """
-    groups = encode_groups(spans, heads, per_chunk)
+    learned = train_dictionaries(_sized(spans, heads, per_chunk), level) if dictionary else None
+    if learned is not None:
+        learned = materialise(learned, "dictionaries")
+        heads = heads.join(learned, "file_id", "left")
+    if overrides is not None:
+        listed = overrides.groupBy("file_id").agg(F.collect_list(F.struct("layer", "sector_id", "settings")).alias("overrides"))
+        heads = heads.join(listed, "file_id", "left")
+    groups = encode_groups(spans, heads, per_chunk, level, probe, learned)
 
     def pack(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        name = key[0].as_py() if hasattr(key[0], "as_py") else key[0]
+        name = _plain(key[0])
         if not right.num_rows:
             raise ValueError(f"no head for {name}")
         h = right.to_pylist()[0]
         n = h["total_layers"]
+        value = lambda column, default: default if h.get(column) is None else h[column]
+        head = X.Head(value("encoder", "lamina"), value("created", 0), h["width"], h["height"], value("build_w", 1000), value("build_d", 1000), value("build_h", 1000), value("layer_height_um", 50), n)
+        job = Print(
+            head,
+            json.loads(h["meta"]),
+            [],
+            overrides=[(o["layer"], o["sector_id"], json.loads(o["settings"])) for o in value("overrides", [])],
+            profile=json.loads(h["profile"]) if h.get("profile") is not None else None,
+            previews=[(p["role"], p["image"]) for p in value("previews", [])],
+            extensions=[(e["vendor"], e["critical"], e["ext_type"].encode("ascii"), e["data"]) for e in value("extensions", [])],
+            scene=h.get("scene"),
+            per_chunk=per_chunk,
+            level=level,
+            hashes=hashes,
+            share_overrides=share_overrides,
+        )
         frames, sizes, leaves = {}, {}, [X.leaf(b"")] * n
-        sectors: dict[int, list[int]] = {k: [0] for k in range(n)}
+        sectors: dict[int, set[int]] = {k: {0} for k in range(n)}
+        for k, s in job.overrides:
+            if k not in sectors:
+                raise Fault("lrov.orphan", f"{name}: layer {k} of {n}")
+            sectors[k].add(s)
         for r in left.to_pylist():
             frames[r["layer_group"], r["sector_id"]] = r["frame"]
             for k, size in zip(r["layers"], r["sizes"]):
                 sizes[k, r["sector_id"]] = size
-                sectors[k] = sorted({*sectors[k], r["sector_id"]})
+                sectors[k].add(r["sector_id"])
             for k, x in zip(r["leaf_layers"], r["leaves"]):
                 leaves[k] = x
-        head = X.Head("lamina", 0, h["width"], h["height"], 1000, 1000, 1000, 50, n)
-        data = lay_out(Print(head, json.loads(h["meta"]), [], per_chunk=per_chunk), sectors, dict(sorted(frames.items())), sizes, leaves)
+        data = lay_out(job, {k: sorted(s) for k, s in sectors.items()}, dict(sorted(frames.items())), sizes, leaves, h.get("dictionary"))
         return pa.table({"path": pa.array([name], pa.string()), "content": pa.array([data], pa.binary())})
 
     return groups.groupBy("file_id").cogroup(heads.groupBy("file_id")).applyInArrow(pack, FILES)
+
+
+def seal_prints(files: DataFrame, label: bytes, password: str | None = None, machines: tuple[bytes, ...] = (), cipher: str = "A256", costs: tuple[int, int, int] = (3, 65536, 1)) -> DataFrame:
+    """Plain files (path, content) as encrypted ones, for a password, for machines' public keys, or for both.
+
+    costs: Argon2id's rounds, KiB and lanes for the password.
+
+    Each file gets a session key of its own, and all its nonces are fresh; so files differ from run to run, and a task that
+    runs again gives other bytes of the same content.
+    """
+    if password is None and not machines:
+        raise Fault("crypt.mode_empty", "neither a password nor a machine")
+
+    def rows(name, data):
+        key = os.urandom(32)
+        opened_by = password_section(password, key, os.urandom(16), *costs) if password is not None else b""
+        entries = b"".join(machine_entry(public, key, os.urandom(32), label) for public in machines)
+        yield (name, seal_file(data, X.Auth(cipher, (password is not None) + 2 * bool(machines), opened_by, entries), key, lambda _: os.urandom(12)))
+
+    return _each(files, FILES, rows, 1)
