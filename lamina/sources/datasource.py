@@ -1,7 +1,8 @@
 """A data source of print files: spark.read.format("prints").option("view", "runs").load(path).
 
-Views: heads, chunks, entries, runs.  A filter on the layer is pushed to the reader, which then decompresses only
-the frames of that layer.  One partition for each file; paths are listed and read through Arrow's file systems.
+Views: heads, chunks, entries, runs, verified (leaf hashes against the stored ones, chunk by chunk).  A filter on the
+layer is pushed to the reader.  A file is read by ranges: header, directory and small chunks, then the layer chunks that
+the view needs, one after the other.  One partition for each file; paths are listed and read through Arrow's file systems.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from ..session import ship
 from . import format as X
-from .codec import decode
+from .codec import Fault
+from .prints import run_batches
 
 VIEWS = {
     "heads": "file_id string, encoder string, created long, width long, height long, layer_height_um long, total_layers long",
     "chunks": "file_id string, dir_index int, chunk_type string, offset long, size_uncompressed long, size_compressed long, flags long",
     "entries": "file_id string, layer int, sector_id long, data_size long, data_offset long, first_layr long, first_lrov long",
+    "verified": "file_id string, layer int, leaf binary, matches boolean",
     "runs": "file_id string, layer int, sector_id long, run_idx int, start long, end long, value int",
 }
 
@@ -40,7 +43,7 @@ class PrintReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("layer",) and self.view in ("entries", "runs"):
+            if isinstance(f, EqualTo) and f.attribute == ("layer",) and self.view in ("entries", "runs", "verified"):
                 self.layer = f.value
             else:
                 yield f
@@ -61,26 +64,38 @@ class PrintReader(DataSourceReader):
     def read(self, partition: File):
         fs, path = _filesystem(partition.uri)
         with fs.open_input_file(path) as f:
-            data = f.read()
-        name, p = partition.uri, X.read(data)
-        if self.view == "heads":
+            name, p = partition.uri, X.read_ranges(lambda offset, length: f.read_at(length, offset), f.size())
+            if self.view == "runs":
+                yield from run_batches(name, p, layer=self.layer)
+            else:
+                yield from getattr(self, f"_{self.view}")(name, p)
+
+    def _heads(self, name: str, p: X.Parsed):
+        if p.head:
             h = p.head
             yield (name, h.name, h.created, h.width, h.height, h.layer_height, h.total_layers)
-        elif self.view == "chunks":
-            for c in p.chunks:
-                if c.offset:
-                    yield (name, c.index, c.kind, c.offset, c.size, c.compressed, c.flags)
-        else:
-            pixels = p.head.width * p.head.height
-            for e in p.entries:
-                if self.layer is not None and e.layer != self.layer:
-                    continue
-                if self.view == "entries":
-                    yield (name, e.layer, e.sector, e.data_size, e.data_offset, e.first_layr, e.first_lrov)
-                elif e.data_size:
-                    starts, values = decode(p.slice(e), pixels)
-                    for i, (a, b, v) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), pixels], values.tolist())):
-                        yield (name, e.layer, e.sector, i, a, b, v)
+
+    def _chunks(self, name: str, p: X.Parsed):
+        for c in p.chunks:
+            if c.offset:
+                yield (name, c.index, c.kind, c.offset, c.size, c.compressed, c.flags)
+
+    def _entries(self, name: str, p: X.Parsed):
+        for e in p.entries:
+            if self.layer in (None, e.layer):
+                yield (name, e.layer, e.sector, e.data_size, e.data_offset, e.first_layr, e.first_lrov)
+
+    def _verified(self, name: str, p: X.Parsed):
+        """Layer by layer, so that no more than a layer's chunks are in memory; a layer that can't be read does not match."""
+        stored = [c for c in p.of("LHAS") if not c.flags & X.SEALED]
+        leaves = X.parse_hashes(stored[0].payload)[2] if stored else []
+        for k in range(p.layers):
+            if self.layer in (None, k):
+                try:
+                    found = X.leaf(p.layer_data(k))
+                except Fault:
+                    found = None
+                yield (name, k, found, found == leaves[k] if k < len(leaves) else None)
 
 
 class PrintSource(DataSource):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -370,6 +371,10 @@ def layer_chunk(frame: bytes) -> Chunk:
     return Chunk("LAYR", payload, len(payload), len(payload))
 
 
+#: Decompressed layer chunks held at most for one file.
+KEPT = 16
+
+
 @dataclass
 class Parsed:
     """What can be read of a file without a key; chunks that are sealed are left alone."""
@@ -381,21 +386,30 @@ class Parsed:
     layers: int = 0
     entries: list[Entry] = field(default_factory=list)
     dictionary: bytes | None = None
-    frames: dict[int, tuple[bytes, int]] = field(default_factory=dict)  # compressed, and the most that they may hold
+    frames: dict[int, tuple[bytes | None, int]] = field(default_factory=dict)  # compressed, and the most that they may hold
     overrides: dict[int, dict] = field(default_factory=dict)
-    cache: tuple[int, bytes] = (-1, b"")
+    fetch: Callable[[Chunk], bytes] | None = None  # reads a layer chunk that isn't at hand
+    kept: dict[int, bytes] = field(default_factory=dict)  # outputs last asked for, the oldest first
+    of_layer: dict[int, list[Entry]] | None = None
 
     def of(self, kind: str) -> list[Chunk]:
         return [c for c in self.chunks if c.offset and c.kind == kind]
 
     def frame(self, index: int) -> bytes:
-        """A layer chunk's output; only the last one is kept."""
-        if self.cache[0] != index:
+        """A layer chunk's output; as many are kept as a layer has sectors, up to KEPT, so a walk by layers opens each once."""
+        out = self.kept.pop(index, None)
+        if out is None:
             if index not in self.frames:
                 raise Fault("ltbl.first_layr_in_range", str(index))
             raw, most = self.frames[index]
-            self.cache = (index, unzstd(raw, most, self.dictionary if dict_id(raw) else None))
-        return self.cache[1]
+            if raw is None:
+                raw = self.fetch(self.chunks[index])[4:]
+            out = unzstd(raw, most, self.dictionary if dict_id(raw) else None)
+            room = min(KEPT, 1 + max((e.additional for e in self.entries), default=0))
+            while len(self.kept) >= room:
+                del self.kept[next(iter(self.kept))]
+        self.kept[index] = out
+        return out
 
     def slice(self, e: Entry) -> bytes:
         if not e.data_size:
@@ -406,7 +420,11 @@ class Parsed:
         return frame[e.data_offset : e.data_offset + e.data_size]
 
     def layer_data(self, layer: int) -> bytes:
-        return b"".join(self.slice(e) for e in sorted((e for e in self.entries if e.layer == layer), key=lambda e: e.sector))
+        if self.of_layer is None:
+            self.of_layer = {}
+            for e in self.entries:
+                self.of_layer.setdefault(e.layer, []).append(e)
+        return b"".join(self.slice(e) for e in sorted(self.of_layer.get(layer, []), key=lambda e: e.sector))
 
 
 def payload_of(c: Chunk) -> bytes:
@@ -421,7 +439,32 @@ def read(data: bytes) -> Parsed:
     h = parse_header(data)
     if h.magic != MAGIC:
         raise Fault("header.magic", repr(h.magic))
-    p = Parsed(h, parse_directory(data, h))
+    return _filled(Parsed(h, parse_directory(data, h)))
+
+
+def read_ranges(at: Callable[[int, int], bytes], size: int) -> Parsed:
+    """Opens a file of `size` bytes by at(offset, length): header, directory, and the small chunks; layer chunks when asked for.
+
+    Scenes, previews and extensions are not read.
+    """
+    h = parse_header(at(0, min(size, HEADER.size)))
+    if h.magic != MAGIC:
+        raise Fault("header.magic", repr(h.magic))
+    if h.dir_offset < 32 or h.dir_offset + 32 * h.chunk_count > size - 8:
+        raise Fault("header.dir_offset", f"{h.chunk_count} descriptors at {h.dir_offset} in {size} bytes")
+    raw = at(h.dir_offset, 32 * h.chunk_count)
+    chunks = [parse_descriptor(raw[32 * i : 32 * (i + 1)], i) for i in range(h.chunk_count)]
+
+    def fetch(c: Chunk) -> bytes:
+        return at(c.offset, max(0, min(c.stored, size - c.offset)))
+
+    for c in chunks:
+        if c.offset and c.kind in ("HEAD", "META", "LTBL", "ZDIC", "LROV", "LHAS", "AUTH"):
+            c.payload = fetch(c)
+    return _filled(Parsed(h, chunks, fetch=fetch))
+
+
+def _filled(p: Parsed) -> Parsed:
     clear = lambda kind: [c for c in p.of(kind) if not c.flags & SEALED]
     p.head = Head.parse(next(iter(clear("HEAD"))).payload) if clear("HEAD") else None
     if clear("META"):
@@ -435,7 +478,7 @@ def read(data: bytes) -> Parsed:
     for e in p.entries:
         slices[e.first_layr] = slices.get(e.first_layr, 0) + (e.data_size > 0)
     for c in clear("LAYR"):
-        p.frames[c.index] = (c.payload[4:], max(slices.get(c.index, 0), 1) * (5 * pixels + 64))
+        p.frames[c.index] = (c.payload[4:] if p.fetch is None else None, max(slices.get(c.index, 0), 1) * (5 * pixels + 64))
     for c in clear("LROV"):
         p.overrides[c.index] = json_object(payload_of(c), "lrov.json")
     return p

@@ -56,6 +56,35 @@ def _each(files: DataFrame, schema: str, rows: Callable[[str, bytes], Iterator[t
     return files.select("path", "content").mapInArrow(run, target)
 
 
+def run_batches(name: str, p: X.Parsed, strict: bool = False, exposed: bool = False, layer: int | None = None, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The runs of a file (RUNS) as Arrow batches of some `most` rows, made of arrays; of one layer, if it is given."""
+    pixels = p.head.width * p.head.height if p.head else 0
+    held: list[tuple] = []
+    n = 0
+    for e in p.entries:
+        if e.data_size and layer in (None, e.layer):
+            starts, values = decode(p.slice(e), pixels, strict)
+            ends, at = np.append(starts[1:], pixels), np.arange(len(starts))
+            if exposed:
+                lit = values > 0
+                starts, ends, values, at = starts[lit], ends[lit], values[lit], at[lit]
+            held.append((e.layer, e.sector, at, starts, ends, values))
+            n += len(at)
+        if n >= most:
+            yield _run_batch(name, held)
+            held, n = [], 0
+    if n:
+        yield _run_batch(name, held)
+
+
+def _run_batch(name: str, held: list[tuple]) -> pa.RecordBatch:
+    counts = [len(h[2]) for h in held]
+    each = [np.repeat([h[i] for h in held], counts) for i in (0, 1)] + [np.concatenate([h[i] for h in held]) for i in range(2, 6)]
+    kinds = (np.int32, np.int64, np.int32, np.int64, np.int64, np.int32)
+    columns = [pa.array(c.astype(k)) for c, k in zip(each, kinds)]
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), sum(counts)), *columns], names=["file_id", "layer", "sector_id", "run_idx", "start", "end", "value"])
+
+
 class PrintFiles:
     """Views of container files (path, content), opened without validation.  Sealed chunks show no content."""
 
@@ -132,18 +161,12 @@ class PrintFiles:
     def runs(self, strict: bool = False, exposed: bool = False) -> DataFrame:
         """Decoded runs, or only those that are not black; an entry without bytes has no row."""
 
-        def rows(name, data):
-            p = X.read(data)
-            pixels = p.head.width * p.head.height
-            for e in p.entries:
-                if e.data_size:
-                    starts, values = decode(p.slice(e), pixels, strict)
-                    ends = np.append(starts[1:], pixels)
-                    for i, (a, b, v) in enumerate(zip(starts.tolist(), ends.tolist(), values.tolist())):
-                        if v or not exposed:
-                            yield (name, e.layer, e.sector, i, a, b, v)
+        def run(stream):
+            for batch in stream:
+                for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield from run_batches(name, X.read(data.as_py()), strict, exposed)
 
-        return _each(self.files, RUNS, rows)
+        return self.files.select("path", "content").mapInArrow(run, RUNS)
 
     def layer(self, index: int, primary: bool = True) -> DataFrame:
         """(file_id, sector_id, mask) of one layer: the primary sector's (black if it has no bytes), or of all sectors with bytes.

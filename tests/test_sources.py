@@ -71,6 +71,39 @@ def test_data_source(spark, tmp_path):
     assert sorted(map(key, one.collect())) == sorted(map(key, want.filter("layer = 3").collect()))
 
 
+def test_ranges_read_only_what_a_view_needs():
+    spans = [{0: [(k, k + 40, 255)], 1: [(500 + k, 900, 90)]} for k in range(12)]
+    data = build(job(spans, per_chunk=3, scene=b"scene" * 1000))
+    asked = []
+
+    def at(offset, length):
+        asked.append((offset, length))
+        return data[offset : offset + length]
+
+    p = X.read_ranges(at, len(data))
+    before = len(asked)
+    whole = X.read(data)
+    assert [p.layer_data(k) for k in range(12)] == [whole.layer_data(k) for k in range(12)]
+    layers = [c for c in whole.chunks if c.kind == "LAYR"]
+    assert len(asked) - before == len(layers) == 8  # each once, though layers take turns between two sectors' chunks
+    assert not any(o == c.offset for c in whole.chunks if c.kind == "VOXL" for o, _ in asked)
+    assert len(p.kept) == 2
+
+
+def test_verified_layer_by_layer(spark, tmp_path):
+    good = build(job())
+    (tmp_path / "good.bin").write_bytes(good)
+    c = next(c for c in X.parse_directory(good, X.parse_header(good)) if c.kind == "LAYR")
+    at = c.offset + c.stored - 2
+    (tmp_path / "hurt.bin").write_bytes(good[:at] + bytes([good[at] ^ 255]) + good[at + 1 :])
+    datasource.register(spark)
+    found = {(r["file_id"].rpartition("/")[2], r["layer"]): r["matches"] for r in spark.read.format("prints").option("view", "verified").load(str(tmp_path / "*.bin")).collect()}
+    assert all(found["good.bin", k] for k in range(4))
+    assert not (found["hurt.bin", 0] and found["hurt.bin", 1]) and found["hurt.bin", 2] and found["hurt.bin", 3]  # the first chunk holds two layers
+    (tmp_path / "good.bin").write_bytes(build(job(hashes=False)))
+    assert spark.read.format("prints").option("view", "verified").load(str(tmp_path / "good.bin")).filter("matches is null").count() == 4
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 5), (3, "z", 6)], "k int, s string, n int")
     b = spark.createDataFrame([(1, "x", None), (2, "y", 7), (4, "z", 6)], "k int, s string, n int")
