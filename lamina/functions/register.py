@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -36,6 +38,12 @@ def zstd_decompress(data: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([one(x, n) for x, n in zip(data, most)])
 
 
+@pandas_udf(T.BinaryType())
+def shake256(data: pd.Series, size: pd.Series) -> pd.Series:
+    """The first `size` bytes of SHAKE-256; null for a null value or a negative size."""
+    return pd.Series([None if x is None or pd.isna(n) or n < 0 else hashlib.shake_256(bytes(x)).digest(int(n)) for x, n in zip(data, size)])
+
+
 @pandas_udf(T.BinaryType())
 def varint_encode(values: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) or x < 0 else varint(int(x)) for x in values])
@@ -77,8 +85,8 @@ class ReeDecode:
 
 
 def register(spark: SparkSession) -> None:
-    """crc32c, zstd_compress, zstd_decompress, varint_encode, varint_decode, merkle_root, ree_decode."""
+    """crc32c, shake256, zstd_compress, zstd_decompress, varint_encode, varint_decode, merkle_root, ree_decode."""
     ship(spark)
-    for f in (crc32c, zstd_compress, zstd_decompress, varint_encode, varint_decode, merkle_root):
+    for f in (crc32c, shake256, zstd_compress, zstd_decompress, varint_encode, varint_decode, merkle_root):
         spark.udf.register(f.__name__, f)
     spark.udtf.register("ree_decode", ReeDecode)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ints import int_div
 from ..operators import rules as RU
 from ..operators.previews import png
+from ..operators.references import REFERENCES, reference_report, unknown_keys
 from ..operators.validate import validate
 from ..session import materialise
 from ..sources.prints import PrintFiles, write_prints
@@ -249,6 +250,27 @@ def rules_framing_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framing_report(cases).select("file_id", "check").distinct().join(expected, ["file_id", "check"]).withColumnRenamed("file_id", "case")
 
 
+def _reference_cases() -> list[tuple[str, str, bytes]]:
+    return [(case, check, data) for group in ("framing", "chunks") for case, check, data in planted(group) if check in REFERENCES]
+
+
+@files.add(_values((case, c) for case, c, _ in _reference_cases()) + ' AS t("case", "check")')
+def rules_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules between entries, chunks, dictionaries, overrides and materials, by joins: the first that each planted file breaks."""
+    cases = spark.createDataFrame([(case, data) for case, _, data in _reference_cases()], "path string, content binary")
+    return RU.first_failure(reference_report(PrintFiles(cases)), ["file_id"], True).select(F.col("file_id").alias("case"), "check")
+
+
+@files.add("SELECT p_partkey::VARCHAR AS file_id, p_brand AS brand, p_size::VARCHAR AS size, 2 AS n FROM part")
+def unknown_keys_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of settings that the format doesn't name, as a map."""
+    p = table(spark, sf_dir, "part")
+    text = F.to_json(F.struct(F.lit(1).alias("meta_version"), F.lit(2500).alias("normal_exposure_ms"), F.col("p_brand").alias("vendor_brand"), F.col("p_size").alias("vendor_size")))
+    objects = p.select(F.col("p_partkey").cast("string").alias("file_id"), F.lit(1).alias("dir_index"), F.lit("META").alias("chunk_type"), text.alias("json"))
+    found = unknown_keys(objects, tuple(META))
+    return found.select("file_id", F.col("unknown")["vendor_brand"].alias("brand"), F.col("unknown")["vendor_size"].alias("size"), F.size("unknown").alias("n"))
+
+
 @files.add("SELECT (l % 4)::VARCHAR AS file_id, 0::BIGINT AS failures, true AS head_first FROM (SELECT DISTINCT user_id AS l FROM events) GROUP BY 1")
 def container_directory_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers and directories by expressions alone, and their framing rules."""

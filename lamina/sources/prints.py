@@ -268,6 +268,39 @@ class PrintFiles:
 
         return _each(self.files, LEAVES, rows)
 
+    def chunk_kinds(self) -> DataFrame:
+        """(file_id, dir_index, chunk_type, sealed) without any payload."""
+
+        def rows(name, data):
+            for c in X.parse_directory(data, X.parse_header(data)):
+                if c.offset:
+                    yield (name, c.index, c.kind, bool(c.flags & X.SEALED))
+
+        return _each(self.files, "file_id string, dir_index int, chunk_type string, sealed boolean", rows)
+
+    def tables(self) -> DataFrame:
+        """(file_id, declared, total_layers, pixels, multi_sector): what table, head and header say of the layers."""
+
+        def rows(name, data):
+            p = X.read(data)
+            if p.head:
+                yield (name, p.layers, p.head.total_layers, p.head.width * p.head.height, bool(p.header.flags & X.MULTI_SECTOR))
+
+        return _each(self.files, "file_id string, declared long, total_layers long, pixels long, multi_sector boolean", rows)
+
+    def frame_headers(self) -> DataFrame:
+        """(file_id, dir_index, content_size, dict_id) of each layer chunk, from its frame's header alone; no size, or no frame: null."""
+
+        def rows(name, data):
+            p = X.read(data)
+            for i, (raw, _) in sorted(p.frames.items()):
+                try:
+                    yield (name, i, X.content_size(raw), X.dict_id(raw))
+                except Fault:
+                    yield (name, i, None, None)
+
+        return _each(self.files, "file_id string, dir_index int, content_size long, dict_id long", rows)
+
     def auth(self) -> DataFrame:
         """(file_id, cipher, by_password, fingerprints): how a file opens; no secret is needed to read it."""
 

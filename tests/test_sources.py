@@ -49,6 +49,7 @@ def test_registered_functions(spark):
     register(spark)
     row = spark.sql("SELECT crc32c(encode('123456789', 'UTF-8')) AS c, varint_decode(varint_encode(2073600L)) AS v, octet_length(varint_encode(128L)) AS n, varint_decode(X'8000') AS bad, decode(zstd_decompress(zstd_compress(encode('hello', 'UTF-8'), 3), 100), 'UTF-8') AS z, zstd_decompress(X'00', 10) AS damaged").first()
     assert (row["c"], row["v"], row["n"], row["bad"], row["z"], row["damaged"]) == (0xE3069283, 2073600, 2, None, "hello", None)
+    assert spark.sql("SELECT hex(shake256(X'', 16)) AS h, shake256(X'00', -1) AS none").first()[:] == ("46B9DD2B0BA88D13233B3FEB743EEB24", None)  # the standard's empty message
     runs = spark.sql("SELECT * FROM ree_decode(X'01020007' || X'0100000003', 12)").collect()
     assert [(r["start"], r["end"], r["value"]) for r in runs] == [(0, 3, 0), (3, 12, 7)]
     leaves = [X.leaf(bytes([i])) for i in range(5)]
