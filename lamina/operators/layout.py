@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ints import aligned, int_div
-from .ranking import with_position
+from .ranking import with_position, with_running
 from .runs import before
 
 
@@ -29,10 +29,10 @@ def entries(slices: DataFrame, file: Sequence[str], per_chunk: int = 64) -> Data
     return s.withColumn("home_sector", F.when(F.col("chunk_has_data"), F.col("sector")).otherwise(F.min(F.when(F.col("chunk_has_data"), F.col("sector"))).over(layer)))
 
 
-def layer_index(table: DataFrame, file: Sequence[str], order: Sequence[str], sector: str = "sector") -> Column:
-    """The layer of each entry of a valid table, whose layers begin with sector 0."""
-    w = Window.partitionBy(*file).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(F.when(F.col(sector) == 0, 1).otherwise(0)).over(w) - 1
+def with_layer_index(table: DataFrame, file: Sequence[str], order: Sequence[str], sector: str = "sector", name: str = "layer_index") -> DataFrame:
+    """The layer of each entry of a valid table, whose layers begin with sector 0; a file may have any number of entries."""
+    begins = (F.col(sector) == 0).cast("long")
+    return with_running(table, file, order, begins, name).withColumn(name, F.col(name) + begins - 1)
 
 
 def sector_order(table: DataFrame, layer: Sequence[str], order: Sequence[str], sector: str = "sector") -> DataFrame:
@@ -43,16 +43,20 @@ def sector_order(table: DataFrame, layer: Sequence[str], order: Sequence[str], s
     return table.withColumn("check", broken).filter("check is not null")
 
 
-def overlapping(extents: DataFrame, within: Sequence[str], tie: str) -> DataFrame:
-    """Extents (start, end) that begin before the furthest end of those before them; empty ones take no part."""
+def overlapping(extents: DataFrame, within: Sequence[str], tie: str, large: bool = False) -> DataFrame:
+    """Extents (start, end) that begin before the furthest end of those before them; empty ones take no part.
+
+    large: groups may be too many rows for a task, so the furthest end is carried from partition to partition.
+    """
+    if large:
+        return with_running(extents.filter("end > start"), within, ["start", "end", tie], F.col("end"), "until", "max").filter("until > start")
     w = before(Window.partitionBy(*within).orderBy("start", "end", tie))
     return extents.filter("end > start").withColumn("until", F.max("end").over(w)).filter("until > start")
 
 
-def payload_offsets(chunks: DataFrame, file: Sequence[str], order: Sequence[str], size: str, header: int = 32) -> Column:
-    """Byte offsets of payloads, each padded to eight bytes, after the header."""
-    w = before(Window.partitionBy(*file).orderBy(*order))
-    return (F.coalesce(F.sum(aligned(F.col(size))).over(w), F.lit(0)) + header).cast("long")
+def with_payload_offsets(chunks: DataFrame, file: Sequence[str], order: Sequence[str], size: str, name: str = "offset", header: int = 32) -> DataFrame:
+    """Byte offsets of payloads, each padded to eight bytes, after the header; a file may have any number of rows."""
+    return with_running(chunks, file, order, aligned(F.col(size)), name).withColumn(name, (F.col(name) + header).cast("long"))
 
 
 def allocation_bound(slices: Column, pixels: Column | int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ints import bits
@@ -10,6 +10,7 @@ from ..operators import layout as L
 from ..operators import merkle as M
 from ..operators import previews as P
 from ..operators import rules as RU
+from ..operators.ranking import with_running
 from .base import Catalogue, table
 
 tables = Catalogue()
@@ -59,7 +60,7 @@ def ltbl_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @tables.add("""SELECT conv_id, turn, sum((turn = 0)::INT) OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS layer_index FROM conversations""")
 def ltbl_layer_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 4).alias("file"), F.col("turn").alias("sector"))
-    return t.select("conv_id", "turn", L.layer_index(t, ["file"], ["conv_id", "turn"]).alias("layer_index"))
+    return L.with_layer_index(t, ["file"], ["conv_id", "turn"]).select("conv_id", "turn", "layer_index")
 
 
 @tables.add("""WITH t AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0 THEN turn - 1 WHEN conv_id % 7 = 0 THEN 9 - turn ELSE turn END AS sector FROM conversations),
@@ -76,10 +77,9 @@ b AS (SELECT doc_id, source, e - n_chars - CASE WHEN doc_id % 13 = 0 THEN 5 ELSE
 SELECT y.doc_id, y.source, max(x.e) AS until FROM b x JOIN b y ON x.source = y.source AND (x.s, x.e, x.doc_id) < (y.s, y.e, y.doc_id) AND x.e > y.s AND x.e > x.s AND y.e > y.s GROUP BY ALL""")
 def slice_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted overlaps; the oracle is the interval self-join."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sum("n_chars").over(w).alias("end"))
+    d = with_running(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), "end").withColumn("end", F.col("end") + F.col("n_chars"))
     d = d.withColumn("start", F.col("end") - F.col("n_chars") - F.when(F.col("doc_id") % 13 == 0, 5).otherwise(0))
-    return L.overlapping(d, ["source"], "doc_id").select("doc_id", "source", "until")
+    return L.overlapping(d, ["source"], "doc_id", large=True).select("doc_id", "source", "until")
 
 
 @tables.add(f"""{_SLICES}, c AS (SELECT layer // 8 AS chunk, count(*) FILTER (data_size > 0) AS slices, sum(data_size)::BIGINT AS declared FROM s GROUP BY 1)
@@ -93,7 +93,7 @@ def chunk_alloc_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 @tables.add("""SELECT doc_id, source, (32 + coalesce(sum((strlen(text) + 7) // 8 * 8) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM documents""")
 def directory_layout_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
-    return d.select("doc_id", "source", L.payload_offsets(d, ["source"], ["doc_id"], "size").alias("offset"))
+    return L.with_payload_offsets(d, ["source"], ["doc_id"], "size").drop("size")
 
 
 _LEAF = "sha256('\\x00'::BLOB || encode(text))"
@@ -106,9 +106,8 @@ def leaf_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each source, a layer for each document."""
-    idx = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
     d = table(spark, sf_dir, "documents").select("source", "doc_id", M.leaf(F.col("text")).alias("hash"))
-    return d.select("source", idx.alias("idx"), "hash")
+    return with_running(d, ["source"], ["doc_id"], F.lit(1).cast("long"), "idx").select("source", "idx", "hash")
 
 
 _TREE = f"""WITH RECURSIVE l AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, unhex({_LEAF}) AS h FROM documents),
